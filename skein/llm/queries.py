@@ -2,5 +2,27 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from skein.llm import mixing, tokens
+from skein.tables import table
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.document_ids(table(spark, d, "documents"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.share_report(table(spark, d, "documents"), table(spark, d, "mix_targets"), p8_mixture(spark, d))
+
+
+QUERIES = {
+    "p7_ids": p7_ids,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
+}
+SQL: dict[str, str] = {}
