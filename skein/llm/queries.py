@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import mixing, tokens
+from skein.llm import docpairs, mixing, tokens
 from skein.tables import table
 
 
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.documented_functions(table(spark, d, "symbols"), table(spark, d, "edges"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pairs(spark, d).where("source = 'own'").select("id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.document_ids(table(spark, d, "documents"))
 
@@ -21,6 +29,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p5_found": p5_found,
+    "p5_pairs": p5_pairs,
     "p7_ids": p7_ids,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
