@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import docpairs, mixing, tokens
+from skein.llm import docpairs, mixing, pii, tokens
 from skein.tables import table
 
 
@@ -28,11 +28,25 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(table(spark, d, "documents"), table(spark, d, "mix_targets"), p8_mixture(spark, d))
 
 
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"), table(spark, d, "known_names"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found_items(p9_redacted(spark, d))
+
+
+def p9_texts(spark: SparkSession, d: str) -> DataFrame:
+    return p9_redacted(spark, d).select("doc_id", "redacted")
+
+
 QUERIES = {
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
     "p7_ids": p7_ids,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_texts": p9_texts,
 }
 SQL: dict[str, str] = {}
