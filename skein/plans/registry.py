@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from skein.plans import problems
+from skein.plans import graph_queries, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+_PARTS = (problems, graph_queries)
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+SQL = {name: q for part in _PARTS for name, q in part.SQL.items()}
