@@ -171,8 +171,7 @@ def core_symbols(graph: CodeGraph, limit: int = 10) -> DataFrame:
 def importance(graph: CodeGraph) -> DataFrame:
     """(to_id, score): calls of a spelling by the calls of the most-called one."""
     n = graph.calls.groupBy("to_id").agg(F.count(F.lit(1)).alias("n"))
-    top = n.agg(F.max("n").alias("top"))  # one row
-    return n.join(F.broadcast(top), F.lit(True)).select("to_id", (F.col("n") / F.col("top")).alias("score"))
+    return n.select("to_id", (F.col("n") / n.select(F.max("n")).scalar()).alias("score"))
 
 
 def incoming_callers(graph: CodeGraph) -> DataFrame:
@@ -211,8 +210,9 @@ def language_stats(graph: CodeGraph) -> DataFrame:
 
 def totals(graph: CodeGraph) -> DataFrame:
     """One row: n_symbols, n_files, n_edges."""
+    edges = graph.edges.select(F.count(F.lit(1))).scalar()
     s = graph.symbols.agg(F.count(F.lit(1)).alias("n_symbols"), F.countDistinct("file_path").alias("n_files"))
-    return s.join(graph.edges.agg(F.count(F.lit(1)).alias("n_edges")), F.lit(True))
+    return s.select("n_symbols", "n_files", edges.alias("n_edges"))
 
 
 # ---- references and dependencies ------------------------------------------------------------------------------------

@@ -119,8 +119,8 @@ def trace(graph: CodeGraph, target: DataFrame, depth: int = 5, limit: int | None
     name = target.join(graph.names, "id").select(F.explode(F.array("id", "name")).alias("key")).distinct()
     calls = graph.calls
     into = calls.withColumn("key", F.explode(X.tails(F.col("to_id")))).join(name, "key").select("from_id").distinct()
-    ids = target.select(F.col("id").alias("_t"))
-    seeds = into.join(ids, F.lit(True)).where("from_id <> _t").select(
+    into = into.withColumn("_t", target.select("id").scalar()).where("from_id <> _t")
+    seeds = into.select(
         F.col("from_id").alias("start"), F.col("from_id").alias("node"), F.array("from_id", "_t").alias("path")
     )
     callers = calls.select("from_id").unionByName(calls.select(F.col("to_id").alias("from_id"))).distinct()

@@ -249,7 +249,7 @@ walk(target, to_id, kind, depth) as (
   select w.target, e.to_id, e.kind, w.depth + 1 from walk w join e on e.from_id = w.to_id where w.depth < {depth}
 ), least as (select target, to_id, kind, min(depth) as depth from walk w
   where not exists (select 1 from src where src.target = w.target and src.from_id = w.to_id) group by all),
-named as (select target, {NAMED} as name, kind, depth, to_id, coalesce(n.file_path, f.file_path) as file_path
+named as (select target, {NAMED} as name, x.kind, depth, x.to_id, coalesce(n.file_path, f.file_path) as file_path
   from least x left join s n on n.id = x.to_id left join fs f on f.name = x.to_id)
 select target, name, kind, depth, file_path, file_path is null as is_external from (
   select *, row_number() over (partition by target, name, kind order by depth, to_id) as r from named) where r = 1"""
