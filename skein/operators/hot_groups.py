@@ -30,25 +30,17 @@ def keyed_summary(
     of its own; null values count as rows but not as distinct values; null
     times are passed over. An empty table gives no rows.
     """
-    src = rows.select(*[F.col(k) for k in keys], F.col(distinct_of).alias("_v"), F.col(time).alias("_t"))
+    # 128 bits stand for a counted value, so that long values aren't shuffled; they never clash in practice.
+    value = F.when(F.col(distinct_of).isNotNull(), F.struct(F.xxhash64(distinct_of).alias("a"), F.xxhash64(F.lit(17), F.col(distinct_of)).alias("b")))
+    src = rows.select(*[F.col(k) for k in keys], value.alias("_v"), F.col(time).alias("_t"), F.xxhash64(*keys).alias("_key"))
     total = src.count()
-    heavy = (
-        src.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > F.lit(heavy_share * total))
-        .select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_heavy"))
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    # At most 1 / heavy_share rows are broadcast, whatever the size of the table.
-    salted = src.join(F.broadcast(heavy), on, "left").select(
-        *keys,
-        "_v",
-        "_t",
-        F.when(F.col("_heavy"), F.pmod(F.xxhash64("_v"), F.lit(salts))).otherwise(F.lit(0)).alias("_salt"),
-    )
+    # Heavy keys by a frequency sketch; it only decides who is salted, the counts themselves are exact.
+    most = int(1 / heavy_share)
+    sketch = src.select(F.expr(f"approx_top_k(_key, {most}, {10 * most})").alias("_top"))
+    heavy = sketch.select(F.explode("_top").alias("_k")).where(F.col("_k.count") > F.lit(heavy_share * total))
+    heavy = F.broadcast(heavy.select(F.col("_k.item").alias("_key"), F.lit(True).alias("_heavy")))  # at most 1 / heavy_share rows
+    salt = F.when(F.col("_heavy"), F.pmod(F.coalesce("_v.a", F.lit(0)), F.lit(salts))).otherwise(F.lit(0))
+    salted = src.join(heavy, "_key", "left").select(*keys, "_v", "_t", salt.cast("int").alias("_salt"))
     values = salted.groupBy(*keys, "_salt", "_v").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_first"), F.max("_t").alias("_last")
     )
