@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.scale import checkpoint, left_join_skewed
+from skein.scale import checkpoint, lookup_by
 from skein.tables import SYMBOL_KINDS, current_symbols
 
 #: Ids that stand for a file's own code and are never symbols.
 SYNTHETIC = r"::__module__::(?:function|class)$"
 
+#: Levels of the cascade that are joined between two writes.
+LEVELS = 4
+
 
 def references(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every referring value (ref_field, holder_id, missing_id, period) of all delivered rows, with its first delivery.
+    """Every referring value (ref_field, holder_id, missing_id, period, _at) of all delivered rows; _at is when.
 
     A from_id refers unless it is synthetic, a to_id if it has the form of an
     id, a parent_id unless it is empty. Nulls refer to nothing; a row without
@@ -39,13 +44,8 @@ def references(symbols: DataFrame, edges: DataFrame) -> DataFrame:
         "indexed_at",
     )
     period = F.date_format(F.timestamp_seconds("indexed_at"), "yyyy-MM")
-    return (
-        both.unionByName(parents)
-        .where("missing_id is not null")
-        .withColumn("period", period)
-        .groupBy("ref_field", "holder_id", "missing_id", "period")
-        .agg(F.min(F.coalesce("indexed_at", F.lit(-(2**62)))).alias("_at"), F.count(F.lit(1)).alias("n_rows"))
-    )
+    every = both.unionByName(parents).where("missing_id is not null")
+    return every.select("ref_field", "holder_id", "missing_id", period.alias("period"), F.coalesce("indexed_at", F.lit(-(2**62))).alias("_at"))
 
 
 def orphans(symbols: DataFrame, edges: DataFrame, removed: DataFrame) -> DataFrame:
@@ -63,48 +63,51 @@ def orphans(symbols: DataFrame, edges: DataFrame, removed: DataFrame) -> DataFra
     """
     first = symbols.where("id is not null").groupBy(F.col("id").alias("missing_id")).agg(F.min("indexed_at").alias("_since"))
     gone = removed.where("id is not null").select(F.col("id").alias("missing_id")).distinct().withColumn("_gone", F.lit(True))
-    known = first.withColumn("_there", F.lit(True)).join(gone, "missing_id", "full")
-    refs = checkpoint(references(symbols, edges))
-    looked = left_join_skewed(refs, known, "missing_id")
+    refs = references(symbols, edges)
+    # One row per id that is referred to: only those absent, or late for their first reference, are looked up again.
+    seen = refs.groupBy("missing_id").agg(F.min("_at").alias("_first"))
+    looked = seen.join(first, "missing_id", "left").where("_since is null or _since > _first").join(gone, "missing_id", "left")
+    with_bad = lookup_by(looked.select("missing_id", "_since", "_gone", F.lit(True).alias("_bad")), "missing_id")
     reason = (
-        F.when(F.col("_there") & (F.col("_since") > F.col("_at")), "late")
-        .when(F.col("_there"), None)
+        F.when(F.col("_bad").isNull() | (F.col("_since") <= F.col("_at")), None)
+        .when(F.col("_since").isNotNull(), "late")
         .when(F.col("_gone"), "removed")
         .otherwise("missing")
     )
-    looked = checkpoint(looked.withColumn("reason", reason).drop("_since", "_there", "_gone", "_at"))
-    direct = looked.where("reason is not null").withColumn("level", F.lit(0))
+    columns = ["ref_field", "holder_id", "missing_id", "period"]
+    lost = with_bad(refs).withColumn("reason", reason).where("reason is not null")
+    direct = lost.groupBy(*columns, "reason").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("level", F.lit(0))
+    direct = checkpoint(direct)
 
     # Fixpoint over the current parent links, from the records that are orphaned themselves.
     links = current_symbols(symbols, ["parent_id"]).where("parent_id <> ''")
     held = direct.where("ref_field = 'symbols.parent_id'").select(F.col("holder_id").alias("id"), F.col("missing_id").alias("parent_id"))
     links = checkpoint(links)
-    frontier = checkpoint(links.join(held.distinct(), ["id", "parent_id"], "left_semi").select("id", F.lit(1).alias("level")))
-    # Only symbols that are parents themselves carry the cascade on; leaves are added at the end.
-    inner = checkpoint(links.join(links.select(F.col("parent_id").alias("id")).distinct(), "id", "left_semi"))
-    inner = inner.where("id <> parent_id")
-    found, level = frontier, 1
-    while frontier.limit(1).count():
-        level += 1
-        down = inner.join(frontier.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
-        frontier = checkpoint(down.join(found, "id", "left_anti").select("id", F.lit(level).alias("level")))
-        found = found.unionByName(frontier)
+    found = checkpoint(links.join(held.distinct(), ["id", "parent_id"], "left_semi").select("id", F.lit(1).alias("level")))
+    # Only symbols that are parents themselves carry the cascade on; leaves are added at the end. A symbol has one
+    # parent, so without the first orphans no circle can be entered, and none is reached twice.
+    inner = links.join(links.select(F.col("parent_id").alias("id")).distinct(), "id", "left_semi")
+    inner = checkpoint(inner.join(found, "id", "left_anti"))
+    lowest, level = found, 1
+    while lowest.limit(1).count():
+        steps = []
+        for _ in range(LEVELS):
+            level += 1
+            lowest = inner.join(lowest.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id", F.lit(level).alias("level"))
+            steps.append(lowest)
+        down = checkpoint(reduce(DataFrame.unionByName, steps))
+        found, lowest = found.unionByName(down), down.where(F.col("level") == level)
     found = checkpoint(found)
     leaves = links.join(found.select(F.col("id").alias("parent_id"), "level"), "parent_id").join(found, "id", "left_anti")
-    records = checkpoint(
-        found.unionByName(leaves.select("id", (F.col("level") + 1).alias("level"))).groupBy("id").agg(F.min("level").alias("level"))
-    )
-    fine = looked.where("reason is null")
-    holds = fine.join(records.withColumnRenamed("id", "holder_id"), "holder_id")
-    leads = left_join_skewed(fine.where("ref_field = 'edges.to_id'"), records.withColumnRenamed("id", "missing_id"), "missing_id")
-    columns = ["ref_field", "holder_id", "missing_id", "reason", "period", "n_rows"]
-    inherited = (
-        holds.unionByName(leads.where("level is not null").select(holds.columns))
-        .groupBy("ref_field", "holder_id", "missing_id", "period", "n_rows")
-        .agg(F.min("level").alias("level"))
-        .withColumn("reason", F.lit("inherited"))
-    )
-    return direct.select(*columns, "level").unionByName(inherited.select(*columns, "level"))
+    records = found.unionByName(leaves.select("id", (F.col("level") + 1).alias("level"))).groupBy("id").agg(F.min("level").alias("level"))
+    held_by = lookup_by(records.select(F.col("id").alias("holder_id"), F.col("level").alias("_held")), "holder_id")
+    leads_to = lookup_by(records.select(F.col("id").alias("_target"), F.col("level").alias("_leads")), "_target")
+    target = F.when(F.col("ref_field") == "edges.to_id", F.col("missing_id"))
+    near = leads_to(held_by(refs).withColumn("_target", target)).withColumn("level", F.least("_held", "_leads")).where("level is not null")
+    fine = with_bad(near).withColumn("reason", reason).where("reason is null")
+    inherited = fine.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows"), F.min("level").alias("level")).withColumn("reason", F.lit("inherited"))
+    out = ["ref_field", "holder_id", "missing_id", "reason", "period", "n_rows", "level"]
+    return direct.select(out).unionByName(inherited.select(out))
 
 
 def direct_orphans(found: DataFrame) -> DataFrame:

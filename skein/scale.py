@@ -7,7 +7,10 @@ key is skewed without one task getting all of a hot key.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,20 +19,44 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.002
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where none is set (tests on one machine) a temporary folder."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-skein-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the files.
+    """df, written as a table to the shared checkpoint folder and read from there: its lineage ends at the files.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where neither it
-    nor the context names one (tests on one machine) a temporary folder is set.
+    Columnar files are a fraction of the size of a checkpointed RDD, and later
+    steps read only the columns they need. The tables are removed when the
+    Python process ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/skein-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _remove_written() -> None:
+    for spark, path in _written:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the session has ended already; its folder is the cluster's to clear
+            return
 
 
 def buckets_for(rows: int, per_bucket: int, spark: SparkSession) -> int:
@@ -60,3 +87,19 @@ def left_join_skewed(big: DataFrame, lookup: DataFrame, key: str, share: float =
     few = marked.where(F.col("_hot")).drop("_hot").join(hot_rows, key, "left")
     rest = marked.where(F.col("_hot").isNull()).drop("_hot").join(lookup, key, "left")
     return few.unionByName(rest)
+
+
+#: Rows of ids up to which a counted table is broadcast; a larger one is joined by shuffle.
+FEW_ROWS = 200_000
+
+
+def lookup_by(table: DataFrame, key: str, most: int = FEW_ROWS) -> Callable[[DataFrame], DataFrame]:
+    """A function that left-joins its argument with table, which has one row per key.
+
+    table is written and counted once. With at most `most` rows it is
+    broadcast; else hot keys of the other side are kept apart from the shuffle.
+    """
+    table = checkpoint(table)
+    if table.count() <= most:
+        return lambda big: big.join(F.broadcast(table), key, "left")
+    return lambda big: left_join_skewed(big, table, key)
