@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.scale import checkpoint, left_join_skewed
-from skein.tables import CLASS_LIKE, current_edges, current_symbols
+from skein.tables import CLASS_LIKE, current_symbols
 
 _OPEN = re.compile(r"^\s*(?:/\*[*!]?|\"\"\"|'''|<!--|\{-|\(\*)")
 _CLOSE = re.compile(r"(?:\*+/|\"\"\"|'''|-->|-\}|\*\))\s*$")
@@ -221,7 +221,7 @@ def base_classes(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     only one of that name.
     """
     classes = symbols.where(F.col("kind").isin(*CLASS_LIKE, "enum")).select("id", "name", "file_path", F.split("file_path", "/")[0].alias("repo"))
-    links = edges.where("kind in ('extends', 'implements')").select(F.col("from_id").alias("class_id"), F.col("to_id").alias("spelling"))
+    links = edges.where("kind in ('extends', 'implements')").select(F.col("from_id").alias("class_id"), F.col("to_id").alias("spelling")).distinct()
     bare = F.regexp_replace("spelling", r"[<\[(].*$", "")
     links = links.join(classes.select(F.col("id").alias("class_id"), "file_path", "repo"), "class_id")
     links = links.withColumn("name", F.substring_index(F.substring_index(bare, "::", -1), ".", -1))
@@ -252,7 +252,7 @@ def documented_functions(symbols: DataFrame, edges: DataFrame) -> DataFrame:
         "id", "name", "parent_id", "language", "signature", "_d.description", "_d.own"
     )
     told = checkpoint(told)
-    bases = checkpoint(base_classes(current, current_edges(edges)))
+    bases = checkpoint(base_classes(current, edges))
     # A method without signature is no pair of its own, but may describe those that override it.
     silent = current.where(F.col("kind").isin("function", "method") & ~F.coalesce(F.col("signature").rlike(r"[^\s\p{Z}]"), F.lit(False)))
     silent = silent.withColumn("_d", _described("docstring", "name")).where("_d.own").select("id", "name", "parent_id", "_d.description")
