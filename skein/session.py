@@ -3,9 +3,28 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application, in case they can't import it by themselves."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="skein-"), "skein.zip")  # on the driver; Spark's file server hands it out
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
 
 def local_session(cpus: int | None = None, name: str = "skein") -> SparkSession:
     """A single-JVM session with adaptive execution on and UTC time."""
