@@ -182,7 +182,7 @@ def nodes(triples: DataFrame) -> DataFrame:
 def pivot_table(triples: DataFrame, tables: list[str], fields: list[str]) -> DataFrame:
     """The flat table of the nodes of some array fields, with one column for each wanted field.
 
-    Columns: id, node_path, parent_path, ordinal and the fields (as text, null
+    Columns: id, node_path, parent_path, ordinal and the fields (as text, a dot as _, null
     where a node lacks the field). A node's triples all carry the record's id,
     so groups are no larger than one object.
     """
@@ -190,5 +190,5 @@ def pivot_table(triples: DataFrame, tables: list[str], fields: list[str]) -> Dat
     return mine.groupBy("id", "node_path").agg(
         F.max("parent_path").alias("parent_path"),
         F.max("ordinal").alias("ordinal"),
-        *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields],
+        *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f.replace(".", "_")) for f in fields],
     )

@@ -63,6 +63,15 @@ def test_traversals_on_cycles_and_diamonds(spark):
     assert T.transitive_deps(build(spark, [], []), one("a").where("false")).count() == 0
 
 
+def test_trace_goes_back_to_uncalled_code(spark):
+    s = {n: sym(n, line=i + 1) for i, n in enumerate("abcdx")}
+    links = [("a", "svc.x"), ("b", "a"), ("c", "b"), ("d", s["a"][0]), ("c", "c")]
+    g = build(spark, list(s.values()), [(s[f][0], to, "calls", "src/a/f.ts", 1, 1) for f, to in links])
+    got = {tuple(i.split("::")[1] for i in r["path"].split(" > ")) for r in T.trace(g, g.symbols.where("name = 'x'").select("id"), 5).collect()}
+    assert got == {("d", "a", "x")}  # c calls itself, so it is called and starts nothing
+    assert T.trace(g, g.symbols.where("name = 'd'").select("id"), 5).count() == 0
+
+
 def test_random_graphs_against_enumeration(spark):
     rnd = random.Random(5)
     s = [sym(f"n{i}", line=i + 1) for i in range(12)]
