@@ -43,6 +43,7 @@ def is_vendor_path(path: Column, patterns: tuple[str, ...] = VENDOR) -> Column:
 
 
 def entry_group(path: Column) -> Column:
+    """Group of an entry point by words in its path (fixed values; the first that fits)."""
     low = F.lower(path)
     return (
         F.when(low.contains("controller"), "API Controllers")
