@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as X
 from skein.functions.stem import stem
 from skein.operators.graph import CodeGraph, find_symbol, importance, name_lists
+from skein.scale import checkpoint
 
 #: Fixed values of the ranking: term saturation, length normalisation, weights of the two searched columns.
 K1, B, WEIGHTS = 1.2, 0.75, {"name": 5.0, "body": 10.0}
@@ -70,13 +71,18 @@ def _stemmed(words_: Column) -> Column:
     return F.pandas_udf(run, "array<string>")(words_)
 
 
-def postings(docs: DataFrame, stems: bool = True) -> DataFrame:
-    """(id, field, token, pos): every token of the searched columns with its position."""
+def token_lists(docs: DataFrame, stems: bool = True) -> DataFrame:
+    """(id, field, ws): the tokens of each searched column, in order."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), words(F.coalesce(F.col(f), F.lit(""))).alias("ws")) for f in WEIGHTS])
     rows = docs.select("id", F.explode(fields).alias("f")).select("id", "f.field", "f.ws")
     if stems:
         rows = rows.withColumn("ws", _stemmed(F.col("ws")))
-    return rows.select("id", "field", F.posexplode("ws").alias("pos", "token"))
+    return rows
+
+
+def postings(docs: DataFrame, stems: bool = True) -> DataFrame:
+    """(id, field, token, pos): every token of the searched columns with its position."""
+    return token_lists(docs, stems).select("id", "field", F.posexplode("ws").alias("pos", "token"))
 
 
 def expand_query(query: str) -> list[list[str]]:
@@ -105,10 +111,11 @@ def ranked(docs: DataFrame, phrases: list[list[str]], stems: bool = True) -> Dat
     rank is minus the sum over phrases of idf * f * (k1 + 1) / (f + k1 * (1 - b + b * L / avgL)),
     with f the weighted number of hits and L the number of tokens of a document.
     """
-    tokens = postings(docs, stems)
-    lengths = tokens.groupBy("id").agg(F.count(F.lit(1)).alias("len"))
-    n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
-    n_tokens = tokens.select(F.count(F.lit(1)).cast("double")).scalar()
+    lists = checkpoint(token_lists(docs, stems))  # read three times; texts are built and stemmed once
+    tokens = lists.select("id", "field", F.posexplode("ws").alias("pos", "token"))
+    lengths = lists.groupBy("id").agg(F.sum(F.size("ws")).alias("len"))
+    n_docs = lists.where(F.col("field") == "name").select(F.count(F.lit(1)).cast("double")).scalar()
+    n_tokens = lists.select(F.sum(F.size("ws")).cast("double")).scalar()
     steps = [(i, len(p), j, w, j == len(p) - 1) for i, p in enumerate(phrases) for j, w in enumerate(p)]
     names = ("phrase", "size", "step", "word", "prefix")
     asked = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, s)]) for s in steps])
