@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.pii_text import LABELS, PARTICLES, Piece
+from skein.llm.pii_text import LABELS, PARTICLES, WIDE_BLANKS, Piece
 from skein.scale import checkpoint
 
 K = len(LABELS)
@@ -79,7 +79,8 @@ def learned_names(documents: DataFrame, known: DataFrame, support: int = 3) -> d
             return F.transform(every, lambda m: F.struct(F.lit(i).alias("form"), m.alias("m")))
 
         hits = [hits_of(i) for i in range(len(forms))]
-        seen = documents.where("text is not null").select(F.explode(F.concat(*hits)).alias("h")).select("h.form", "h.m")
+        plain = documents.where("text is not null").select(F.translate("text", WIDE_BLANKS, " " * len(WIDE_BLANKS)).alias("text"))
+        seen = plain.select(F.explode(F.concat(*hits)).alias("h")).select("h.form", "h.m")
         role, of_word, of_partner = F.lit(None), F.lit(None), F.lit(None)
         for i, (what, form, partner, mine) in enumerate(forms):
             bare = re.sub(r"\(\?<?[!=](?:[^()]|\([^()]*\))*\)", "", form)  # the match itself, without what may stand beside it

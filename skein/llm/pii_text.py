@@ -62,11 +62,20 @@ TITLES = frozenset("dr prof mr mrs ms miss mme mlle m herr frau sr sra srta dra
 _DIGITS = re.compile(r"\d(?:[ .\-/()+A-Z]{0,3}\d){5}")
 _DIGIT = re.compile(r"\d")
 _PAIR = re.compile(r"[A-ZÀ-ÖØ-Þ][\w'’.\-]* [A-ZÀ-ÖØ-Þ]")
+#: The blanks of Unicode but the ordinary one; each is a single character, so a copy without them has the same places.
+WIDE_BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_WIDE = re.compile(f"[{WIDE_BLANKS}]")
 _BLANKS = str.maketrans({c: " " for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\r"})
 
 
+def plain_blanks(text: str) -> str:
+    """A copy of the same length in which every Unicode blank is an ordinary space."""
+    return text if text.isascii() else _WIDE.sub(" ", text)
+
+
 def candidates(line: str) -> list[tuple[int, int, int, str]]:
     """(start, end, label, form) of every stretch of a line that has the form of an item other than a name."""
+    line = plain_blanks(line)
     found = []
     if AT_SIGN.search(line):
         for m in EMAIL.finditer(line):
@@ -125,7 +134,7 @@ class Piece:
         self.starts: list[int] = []
         self.found: list[tuple[int, int, int, str]] = []
         names, at = lexicon.keys(), 0
-        for line in text.split("\n"):
+        for line in plain_blanks(text).split("\n"):
             mine = candidates(line)
             self.found += [(s + at, e + at, k, form) for s, e, k, form in mine]
             # Every line is read; tokens are needed only of those that can hold an item.

@@ -145,6 +145,17 @@ def test_forms(line, want):
     assert [line[s:e] for s, e, _, _ in candidates(line)] == want
 
 
+@pytest.mark.parametrize("blank", ["\u00a0", "\u202f", "\u2007", "\u3000"])
+def test_forms_with_other_blanks(blank):
+    lines = ["call +49 30 23125 595 now", "+61 2 5550 2395", "NIR: 9 46 13 05 047 935 81,", "at 57 Thistledown Road", "x_y AT kontor DOT example"]
+    for line in lines:
+        other = line.replace(" ", blank) if " AT " not in line else line.replace("x_y ", f"see{blank}x_y ")
+        want = [line[s:e] for s, e, _, _ in candidates(line)]
+        assert want and [other[s:e].replace(blank, " ") for s, e, _, _ in candidates(other)] == want
+    piece = Piece(f"Ada{blank}Birkvane\n+49{blank}30{blank}23125{blank}595", {})
+    assert "Birkvane" in piece.words and [k for _, _, k, _ in piece.found] == [2]
+
+
 def test_redaction_finds_names_and_keeps_the_rest(spark):
     given, family = ["Amara", "Rurik", "Noor", "Otto", "Femke", "Zoë"], ["Quellmar", "Birkvane", "Corvessy", "Halvessen", "Ostrelin"]
     rnd = random.Random(9)
