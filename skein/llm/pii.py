@@ -39,8 +39,10 @@ MAX_FEATURES, MIN_COUNT = 60_000, 3
 MAX_LEARNED = 100_000
 #: Rounds of belief propagation over the skip edges.
 ROUNDS = 3
-#: Longest chain; a longer window is cut into chains of this length that overlap by none.
+#: Longest chain of the training; a longer window is trained on in parts of this length. Inference runs over whole windows.
 CHAIN = 64
+#: Padded tokens that are passed together; a longer chain is passed alone.
+BATCH_CELLS = 512 * CHAIN
 
 ITEMS = "doc_id long, redacted string, items array<struct<pii_type:string,pii_value:string,start:int,end:int>>"
 
@@ -186,7 +188,8 @@ def posterior(model: dict, chains: list[list[list[int]]], edges: list[tuple[int,
     """Label probabilities of every token of every chain, by loopy belief propagation.
 
     edges are (chain, place, chain, place). Chains of like length are passed
-    together; between the passes every skip edge sends a message each way,
+    together, as many as BATCH_CELLS allows, so a long chain costs no padding
+    of others; between the passes every skip edge sends a message each way,
     made from the sender's belief without what the edge itself brought it.
     """
     if not chains:
@@ -195,13 +198,20 @@ def posterior(model: dict, chains: list[list[list[int]]], edges: list[tuple[int,
     base = np.zeros((at[-1], K), np.float32)
     groups = []
     order = sorted(range(len(chains)), key=lambda i: len(chains[i]))
-    for lo in range(0, len(order), 512):
-        mine = order[lo : lo + 512]
-        x, mask = _padded([chains[i] for i in mine], len(model["w"]) - 1)
-        place = at[np.array(mine)][:, None] + np.arange(mask.shape[1])
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < min(len(order), lo + 512) and len(chains[order[hi]]) * (hi + 1 - lo) <= BATCH_CELLS:
+            hi += 1
+        mine, lo = order[lo:hi], hi
+        length = len(chains[mine[-1]])
+        place = at[np.array(mine)][:, None] + np.arange(length)
+        mask = np.arange(length) < np.array([len(chains[i]) for i in mine])[:, None]
         place[~mask] = 0
         groups.append((mask, place))
-        base[place[mask]] = model["w"][x].sum(2)[mask]
+        for t in range(0, length, BATCH_CELLS):  # features of a part at a time: they take the most room
+            x, part = _padded([chains[i][t : t + BATCH_CELLS] for i in mine], len(model["w"]) - 1)
+            base[place[:, t : t + BATCH_CELLS][part]] = model["w"][x].sum(2)[part]
     a = np.array([at[e[0]] + e[1] for e in edges], np.int64)
     b = np.array([at[e[2]] + e[3] for e in edges], np.int64)
     to_a, to_b = np.zeros((len(a), K), np.float32), np.zeros((len(a), K), np.float32)
@@ -213,8 +223,10 @@ def posterior(model: dict, chains: list[list[list[int]]], edges: list[tuple[int,
             np.add.at(extra, b, to_b)
         belief = np.empty_like(base)
         for mask, place in groups:
-            pot = (base + extra)[place]
+            pot = base[place] + extra[place]
             pot[~mask] = 0
+            if pot.shape[1] > CHAIN:  # the sums along a long chain outgrow single precision
+                pot = pot.astype(np.float64)
             alpha, beta, z = _forward_backward(pot, model["trans"], mask)
             belief[place[mask]] = (alpha + beta - z[:, None, None])[mask]
         if len(a) and turn < ROUNDS - 1:
@@ -234,9 +246,9 @@ def _key(word: str) -> str:
     return "".join(c for c in plain if c.isalpha() and not unicodedata.combining(c))
 
 
-def chains_of(piece: Piece) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
-    """The chains (first token, last + 1) of a text and the skip edges between them."""
-    spans = [(a, min(a + CHAIN, hi)) for lo, hi in piece.windows() for a in range(lo, hi, CHAIN)]
+def chains_of(piece: Piece, longest: int | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
+    """The chains (first token, last + 1) of a text and the skip edges between them: its windows, or parts of them of at most `longest`."""
+    spans = [(a, min(a + (longest or hi), hi)) for lo, hi in piece.windows() for a in range(lo, hi, longest or hi)]
     edges, last = [], {}
     for c, (lo, hi) in enumerate(spans):
         for i in range(lo, hi):
@@ -318,7 +330,7 @@ def fit(documents: DataFrame, lexicon: dict[str, str], train_docs: int = TRAIN_D
         for f in frames:
             for text in f["text"]:
                 piece = Piece(text, lexicon)
-                spans, edges = chains_of(piece)
+                spans, edges = chains_of(piece, CHAIN)
                 truth = silver(piece)
                 pairs = [[truth[spans[a][0] + i], truth[spans[b][0] + j]] for a, i, b, j in edges]
                 for n, (lo, hi) in enumerate(spans):

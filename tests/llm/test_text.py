@@ -211,3 +211,33 @@ def test_field_agrees_with_enumeration():
     want = total / total.sum(1, keepdims=True)
     got = P.posterior(model, [chain, [[0]]], [])[0]
     assert np.allclose(got, want, atol=1e-4)
+
+
+def test_names_of_a_long_list_are_found_across_chains():
+    import numpy as np
+
+    people = [(f"Amara{chr(97 + i % 26)}{chr(97 + i // 26)}", f"Quell{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(300)]
+    lexicon = {g.lower(): "given" for g, _ in people} | {f.lower(): "family" for _, f in people}
+    text = "; ".join(["Zed", *[f"{g} {f}" for g, f in people]])
+    piece = Piece(text, lexicon)
+    spans, edges = P.chains_of(piece)
+    names = np.zeros(P.K, "float32")
+    names[P.NAME] = 2.0
+    model = {"w": np.stack([names, -names, names * 0]), "trans": np.zeros((P.K, P.K), "float32"), "skip": np.zeros((P.K, P.K), "float32")}
+    chains = [[[0 if piece.classes[i] else 1] for i in range(*s)] for s in spans]
+    got = P.items(piece, text, spans, P.posterior(model, chains, edges))
+    assert [text[a:b] for a, b, k in got if k == P.NAME] == [f"{g} {f}" for g, f in people]
+
+
+def test_field_holds_on_chains_of_any_length():
+    """A long chain passed beside short ones has the labels that exact sums in double precision give."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n = P.BATCH_CELLS + 500
+    model = {"w": np.vstack([rng.normal(size=(5, P.K)) * 3, np.zeros(P.K)]).astype("float32"), "trans": rng.normal(size=(P.K, P.K)).astype("float32"), "skip": np.zeros((P.K, P.K), "float32")}
+    long = [[int(x)] for x in rng.integers(0, 5, n)]
+    got = P.posterior(model, [[[0]], long, [[1], [2]]], [])
+    assert [len(p) for p in got] == [1, n, 2] and np.allclose(got[1].sum(1), 1, atol=1e-4)
+    part = P.posterior(model, [long[n - 60 :]], [])[0]
+    assert np.allclose(got[1][-20:], part[-20:], atol=1e-3)
