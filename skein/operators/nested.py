@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fields that hold arrays of objects, where an object that stands alone is element 0.
@@ -33,6 +33,9 @@ _TOKEN = re.compile(
 )
 _BLANK = re.compile(r"[ \t\n\r]*")
 
+#: Field of an array element that is no object: the row is the element's own, with its value and parent_path.
+ELEMENT = "[]"
+
 
 class _Place:
     """Where a value stands: its path, the nearest array-element object, and its path below that object."""
@@ -119,7 +122,11 @@ def _scan(text: str, place: _Place, rows: list) -> bool:
                     want = "next" if stack else "end"
                     continue
                 del rows[kept:]
-            rows.append((at.node_table, at.node, None, at.ordinal, at.below, None if scalar == "null" else value))
+            value = None if scalar == "null" else value
+            if at.element:
+                rows.append((at.key, at.path, at.node, int(at.path[at.path.rindex("[") + 1 : -1]), ELEMENT, value))
+            else:
+                rows.append((at.node_table, at.node, None, at.ordinal, at.below, value))
             want = "next" if stack else "end"
         if want == "key" and stack[-1][2] > 0:
             return False
@@ -129,7 +136,8 @@ def _scan(text: str, place: _Place, rows: list) -> bool:
 def record_triples(text: str | None) -> list[tuple]:
     """Triples (table, node, parent, ordinal, field, value) of one record; none if it isn't valid JSON.
 
-    The first triple of each node has the empty field: it is the node's row.
+    The first triple of each node has the empty field: it is the node's row. An
+    array element that is no object has one row of its own, of field ELEMENT.
     """
     if not text:
         return []
@@ -148,7 +156,9 @@ def nested_triples(records: DataFrame, id_col: str = "id", json_col: str = "meta
     node_path is the nearest enclosing array-element object ('' for the record
     itself), node_table the array field it is an element of, field the path
     below the node. The row with an empty field stands for the node itself and
-    carries parent_path; with values=False only those are made. Null, blank and
+    carries parent_path; with values=False only those are made. An array element
+    that is no object has one row, of field ELEMENT, with its own place, parent_path
+    and value. Null, blank and
     invalid texts give no rows; of a key that an object repeats, both values
     give rows. Each record is parsed within one task; nothing is shuffled.
     """
@@ -179,16 +189,41 @@ def nodes(triples: DataFrame) -> DataFrame:
     )
 
 
-def pivot_table(triples: DataFrame, tables: list[str], fields: list[str]) -> DataFrame:
+def _is_element() -> Column:
+    return (F.col("field") == ELEMENT) & F.col("parent_path").isNotNull()  # a key may be named '[]' too
+
+
+def pivot_table(triples: DataFrame, tables: list[str], fields: list[str], elements: bool = False) -> DataFrame:
     """The flat table of the nodes of some array fields, with one column for each wanted field.
 
     Columns: id, node_path, parent_path, ordinal and the fields (as text, a dot as _, null
-    where a node lacks the field). A node's triples all carry the record's id,
-    so groups are no larger than one object.
+    where a node lacks the field); with elements also the array elements that
+    are no objects, whose value is in the column element. A node's triples all
+    carry the record's id, so groups are no larger than one object.
     """
-    mine = triples.where(F.col("node_table").isin(tables) & F.col("field").isin(["", *fields]))
+    wanted = F.col("field").isin(["", *fields])
+    mine = triples.where(F.col("node_table").isin(tables) & ((wanted | _is_element()) if elements else (wanted & ~_is_element())))
     return mine.groupBy("id", "node_path").agg(
         F.max("parent_path").alias("parent_path"),
         F.max("ordinal").alias("ordinal"),
-        *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f.replace(".", "_")) for f in fields],
+        *[F.max(F.when((F.col("field") == f) & ~_is_element(), F.col("value"))).alias(f.replace(".", "_")) for f in fields],
+        *([F.max(F.when(_is_element(), F.col("value"))).alias("element")] if elements else []),
     )
+
+
+def record_fields(triples: DataFrame) -> DataFrame:
+    """The fields of the records themselves: id, field (path below the record), value; whatever their names."""
+    return triples.where("node_path = ''").select("id", "field", "value")
+
+
+def remaining(triples: DataFrame, pivoted: list[tuple[list[str], list[str]]]) -> DataFrame:
+    """What neither record_fields nor the pivoted tables (array fields, fields; with elements) hold, as triples.
+
+    Columns: id, node_table, node_path, parent_path, ordinal, field, value. An
+    object has a row of the empty field, an element that is no object one of
+    the field ELEMENT.
+    """
+    kept = F.lit(False)
+    for tables, fields in pivoted:
+        kept = kept | (F.col("node_table").isin(tables) & (F.col("field").isin(["", *fields]) | _is_element()))
+    return triples.where((F.col("node_path") != "") & ~kept).select("id", "node_table", "node_path", "parent_path", "ordinal", "field", "value")

@@ -29,21 +29,37 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return N.nodes(_triples(spark, d, values=False)).select("id", "node_path", "parent_path")
 
 
+#: Array fields and fields of the pivoted tables of problem 2; p2_remaining has what they leave.
+PIVOTED = {
+    "p2_parameters": (["parameters", "params"], ["name", "type", "optional", "has_default", "is_mutable", "is_final"]),
+    "p2_types": (["type_args", "type_params", "bounds", "throws"], ["name", "origin.module"]),
+    "p2_annotations": (["annotations", "decorators", "attributes"], ["name"]),
+    "p2_arguments": (["args"], ["key", "value"]),
+}
+
+
 def p2_parameters(spark: SparkSession, d: str) -> DataFrame:
-    fields = ["name", "type", "optional", "has_default", "is_mutable", "is_final"]
-    return N.pivot_table(_triples(spark, d), ["parameters", "params"], fields)
+    return N.pivot_table(_triples(spark, d), *PIVOTED["p2_parameters"], elements=True)
 
 
 def p2_types(spark: SparkSession, d: str) -> DataFrame:
-    return N.pivot_table(_triples(spark, d), ["type_args", "type_params", "bounds", "throws"], ["name", "origin.module"])
+    return N.pivot_table(_triples(spark, d), *PIVOTED["p2_types"], elements=True)
 
 
 def p2_annotations(spark: SparkSession, d: str) -> DataFrame:
-    return N.pivot_table(_triples(spark, d), ["annotations", "decorators", "attributes"], ["name"])
+    return N.pivot_table(_triples(spark, d), *PIVOTED["p2_annotations"], elements=True)
 
 
 def p2_arguments(spark: SparkSession, d: str) -> DataFrame:
-    return N.pivot_table(_triples(spark, d), ["args"], ["key", "value"])
+    return N.pivot_table(_triples(spark, d), *PIVOTED["p2_arguments"], elements=True)
+
+
+def p2_record(spark: SparkSession, d: str) -> DataFrame:
+    return N.record_fields(_triples(spark, d))
+
+
+def p2_remaining(spark: SparkSession, d: str) -> DataFrame:
+    return N.remaining(_triples(spark, d), list(PIVOTED.values()))
 
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +102,8 @@ QUERIES = {
     "p2_types": p2_types,
     "p2_annotations": p2_annotations,
     "p2_arguments": p2_arguments,
+    "p2_record": p2_record,
+    "p2_remaining": p2_remaining,
     "p3_found": p3_found,
     "p3_paths": p3_paths,
     "p3_descendants": p3_descendants,

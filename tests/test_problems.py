@@ -106,6 +106,22 @@ def test_deep_nesting_and_tables(spark):
     assert N.nested_triples(df.where("false")).count() == 0
 
 
+def test_every_array_element_and_field_is_in_one_table(spark):
+    text = '{"access":"public","receiver":{"name":"r"},"return_types":["int",null],"decorators":["a",{"name":"b","args":[1],"extra":"e"}],"params":[{"name":"p","attributes":["x"],"[]":"k"}]}'
+    t = N.nested_triples(spark.createDataFrame([("s", text)], "id string, metadata string"))
+    marks = (["annotations", "decorators", "attributes"], ["name"])
+    assert rows(N.pivot_table(t, *marks, elements=True)) == [
+        ("s", "decorators[0]", "", 0, None, "a"), ("s", "decorators[1]", "", 1, "b", None), ("s", "params[0].attributes[0]", "params[0]", 0, None, "x"),
+    ]
+    assert rows(N.pivot_table(t, ["args"], ["key"], elements=True)) == [("s", "decorators[1].args[0]", "decorators[1]", 0, None, "1")]
+    assert rows(N.record_fields(t)) == [("s", "access", "public"), ("s", "receiver.name", "r")]
+    assert rows(N.remaining(t, [marks, (["args"], ["key"]), (["params"], ["name"])])) == sorted([
+        ("s", "decorators", "decorators[1]", None, 1, "extra", "e"), ("s", "params", "params[0]", None, 0, "[]", "k"),
+        ("s", "return_types", "return_types[0]", "", 0, "[]", "int"), ("s", "return_types", "return_types[1]", "", 1, "[]", None),
+    ], key=repr)
+    assert [tuple(r)[2] for r in rows(N.nodes(t))] == ["decorators[1]", "params[0]"]
+
+
 # 3 ---------------------------------------------------------------------------------------------
 
 
