@@ -15,18 +15,20 @@ stand beside several different known names.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.pii_text import LABELS, PARTICLES, WIDE_BLANKS, Piece
-from skein.scale import checkpoint
+from skein.llm.pii_text import BLANKS, LABELS, PARTICLES, TOKEN, Piece, name_pairs, plain_blanks
+from skein.scale import FEW_ROWS, checkpoint, left_join_skewed
 
 K = len(LABELS)
 NAME = LABELS.index("name")
@@ -35,10 +37,12 @@ NAME = LABELS.index("name")
 TRAIN_DOCS = 3_000
 #: Features kept (the most frequent of the sample), and how often one must occur.
 MAX_FEATURES, MIN_COUNT = 60_000, 3
-#: Most names that are learned; where more qualify, the support asked of each is raised until they fit.
-MAX_LEARNED = 100_000
-#: Rounds of belief propagation over the skip edges.
-ROUNDS = 3
+#: Share of the words whose entry in the lexicon, and of the documents whose forms, the field isn't told of in training.
+HIDDEN = 0.5
+#: Most rounds of belief propagation over the skip edges, and the change of a probability below which they end.
+ROUNDS, SETTLED = 8, 0.01
+#: Least probability of a candidate whose form is exact, and of every word of a name that the lexicon doesn't have in full.
+FORM, UNSURE = 0.2, 0.75
 #: Longest chain of the training; a longer window is trained on in parts of this length. Inference runs over whole windows.
 CHAIN = 64
 #: Padded tokens that are passed together; a longer chain is passed alone.
@@ -50,60 +54,78 @@ ITEMS = "doc_id long, redacted string, items array<struct<pii_type:string,pii_va
 # ---- names ----------------------------------------------------------------------------------------------------------
 
 
-def learned_names(documents: DataFrame, known: DataFrame, support: int = 3) -> dict[str, str]:
-    """Lower-case name -> 'given', 'family' or 'both': the known names and those learned from all documents.
+def learned_names(documents: DataFrame, known: DataFrame, support: int = 3) -> DataFrame:
+    """(name, kind): the known names and those learned from all documents, lower case; kind is given, family or both.
 
     A capitalised word is learned as a family name if at least `support`
     different known given names stand before it (or after it and a comma), and
     as a given name likewise by known family names - unless it mostly stands
-    before a whole name, as the words that announce one do.
+    before a whole name, as the words that announce one do. Neither the known
+    nor the learned names are bounded: both are tables, and words meet them in
+    joins after partial counts. Names that are null say nothing.
     """
-    lexicon: dict[str, set[str]] = {}
-    rows = known.select("name", "name_kind").where("name is not null").distinct().collect()  # a fixed, small table
-    for name, kind in rows:
-        lexicon.setdefault(name.lower(), set()).add(kind)
-    lists = {k: sorted((re.escape(n) for n, kind in rows if kind == k), key=len, reverse=True) for k in ("given", "family")}
-    if lists["given"] and lists["family"]:
-        given, family = (f"({'|'.join(lists[k])})" for k in ("given", "family"))
-        word, part = r"(\p{Lu}[\p{L}'’]+(?:-\p{Lu}?\p{L}+)*)", rf"(?:(?:{'|'.join(sorted(PARTICLES))}) )*(?:al-)?"
-        front, back = r"(?=\p{Lu})(?<![\p{L}\p{N}._@'’\-])", r"(?![\p{L}\p{N}'’@_\-]|\.\p{L})"
-        middle = r"(?:\p{Lu}\. )?"
-        forms = [
-            ("family", f"{front}{given} {middle}{part}{word}{back}", 1, 2),
-            ("family", f"{front}{word}, {given}{back}", 2, 1),
-            ("given", rf"{front}{word} {middle}{part}{family}{back}(?!, \p{{Lu}})", 2, 1),
-            ("given", rf"{front}(?<![\p{{L}}.] ){family}, {word}{back}(?! ?[:\d#]| no\.)", 1, 2),
-            ("before", f"{front}{word} {given}{back}", 2, 1),
-        ]
-
-        def hits_of(i: int) -> Column:
-            every = F.regexp_extract_all("text", F.lit(forms[i][1]), F.lit(0))
-            return F.transform(every, lambda m: F.struct(F.lit(i).alias("form"), m.alias("m")))
-
-        hits = [hits_of(i) for i in range(len(forms))]
-        plain = documents.where("text is not null").select(F.translate("text", WIDE_BLANKS, " " * len(WIDE_BLANKS)).alias("text"))
-        seen = plain.select(F.explode(F.concat(*hits)).alias("h")).select("h.form", "h.m")
-        role, of_word, of_partner = F.lit(None), F.lit(None), F.lit(None)
-        for i, (what, form, partner, mine) in enumerate(forms):
-            bare = re.sub(r"\(\?<?[!=](?:[^()]|\([^()]*\))*\)", "", form)  # the match itself, without what may stand beside it
-            role = F.when(F.col("form") == i, F.lit(what)).otherwise(role)
-            of_word = F.when(F.col("form") == i, F.lower(F.regexp_extract("m", bare, mine))).otherwise(of_word)
-            of_partner = F.when(F.col("form") == i, F.lower(F.regexp_extract("m", bare, partner))).otherwise(of_partner)
-        seen = seen.select(role.alias("role"), of_word.alias("word"), of_partner.alias("partner"))
-        stats = seen.groupBy("word", "role", "partner").agg(F.count(F.lit(1)).alias("n"))
-        stats = stats.groupBy("word").agg(
-            F.count(F.when(F.col("role") == "family", 1)).alias("family"),
-            F.count(F.when(F.col("role") == "given", 1)).alias("given"),
-            F.coalesce(F.sum(F.when(F.col("role") == "given", F.col("n"))), F.lit(0)).alias("n_given"),
-            F.coalesce(F.sum(F.when(F.col("role") == "before", F.col("n"))), F.lit(0)).alias("n_before"),
-        )
-        stats = checkpoint(stats.where((F.col("n_before") <= F.col("n_given") * 0.2) & (F.greatest("family", "given") >= support)))
-        while (kept := stats.where(F.greatest("family", "given") >= support)).count() > MAX_LEARNED:
-            support *= 2
-        for r in kept.collect():
-            if r["word"] not in PARTICLES and len(r["word"]) > 1:
-                lexicon.setdefault(r["word"], set()).update(k for k in ("family", "given") if r[k] >= support)
-    return {n: "both" if len(k) > 1 else next(iter(k)) for n, k in lexicon.items() if k}
+    known = known.where("name is not null and name_kind is not null").select(F.lower("name").alias("name"), F.col("name_kind").alias("kind")).distinct()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = Counter(pair for text in batch.column(0).to_pylist() for pair in name_pairs(text))
+            columns = [*zip(*counts)] or [()] * 4
+            arrays = [pa.array(c, t) for c, t in zip([*columns, counts.values()], (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["form", "left", "right", "open", "n"])
+
+    seen = documents.where("text is not null").select("text").mapInArrow(split, "form string, left string, right string, open boolean, n long")
+    seen = checkpoint(seen.groupBy("form", "left", "right", "open").agg(F.sum("n").alias("n")))
+    of = lambda side: known.select(F.col("name").alias(side), F.col("kind").alias(f"{side}_kind"))
+    by_left, by_right = seen.join(of("left"), "left"), seen.join(of("right"), "right")
+    role = lambda df, what, word, partner, ok: df.where(ok).select(F.lit(what).alias("role"), F.col(word).alias("word"), F.col(partner).alias("partner"), "n")
+    roles = [
+        role(by_left, "family", "right", "left", "left_kind = 'given' and form = 'beside'"),
+        role(by_right, "family", "left", "right", "right_kind = 'given' and form = 'comma'"),
+        role(by_right, "given", "left", "right", "right_kind = 'family' and form = 'beside' and not open"),
+        role(by_left, "given", "right", "left", "left_kind = 'family' and form = 'first' and not open"),
+        role(by_right, "before", "left", "right", "right_kind = 'given' and form = 'beside'"),
+    ]
+    stats = reduce(DataFrame.unionByName, roles).groupBy("word", "role", "partner").agg(F.sum("n").alias("n"))
+    stats = stats.groupBy("word").agg(
+        F.count(F.when(F.col("role") == "family", 1)).alias("family"),
+        F.count(F.when(F.col("role") == "given", 1)).alias("given"),
+        F.coalesce(F.sum(F.when(F.col("role") == "given", F.col("n"))), F.lit(0)).alias("n_given"),
+        F.coalesce(F.sum(F.when(F.col("role") == "before", F.col("n"))), F.lit(0)).alias("n_before"),
+    )
+    fits = (F.col("n_before") <= F.col("n_given") * 0.2) & (F.length("word") > 1) & ~F.col("word").isin(*sorted(PARTICLES))
+    kinds = F.array_compact(F.array(*[F.when(F.col(k) >= support, F.lit(k)) for k in ("family", "given")]))
+    learned = stats.where(fits).select(F.col("word").alias("name"), F.explode(kinds).alias("kind"))
+    both = known.unionByName(learned).distinct().groupBy("name").agg(F.min("kind").alias("kind"), F.count(F.lit(1)).alias("_n"))
+    return checkpoint(both.select("name", F.when(F.col("_n") > 1, F.lit("both")).otherwise(F.col("kind")).alias("kind")))
+
+
+def words_of(text: str) -> set[str]:
+    """The lower-case words of a text under which a lexicon is asked: tokens, their parts, and what stands between blanks and marks."""
+    low = plain_blanks(text).lower()
+    words = set(low.translate(BLANKS).split()) | {w.lower() for w in TOKEN.findall(plain_blanks(text))}
+    parts = {x for w in words if "-" in w for x in w.split("-")}
+    return words | parts | {w[3:] for w in words if w.startswith("al-")}
+
+
+def own_lexicons(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with own, the part of names (name, kind) that occurs in the text, for lexicons of any size.
+
+    Each document's distinct words meet the names in a join; words that many
+    documents have are names of a hot key and are kept apart from the shuffle.
+    Only names come back, so a document's own lexicon is no larger than its text.
+    """
+    docs = checkpoint(docs.withColumn("_d", F.xxhash64("doc_id")))  # ids may be null; what two documents share does no harm
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if words := sorted(words_of(text or "")):
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(words), pa.int64()), pa.array(words, pa.string())], names=["_d", "name"])
+
+    words = docs.select("_d", "text").mapInArrow(split, "_d long, name string")
+    met = left_join_skewed(checkpoint(words), names, "name").where("kind is not null")
+    own = met.groupBy("_d").agg(F.map_from_entries(F.collect_set(F.struct("name", "kind"))).alias("own"))
+    return docs.join(own, "_d", "left").drop("_d")
 
 
 # ---- the field ------------------------------------------------------------------------------------------------------
@@ -175,22 +197,30 @@ def train(chains: list[list[list[int]]], labels: list[list[int]], n_features: in
 
 
 def skip_potential(pairs: Counter) -> np.ndarray:
-    """Log potential of the labels at the two ends of a skip edge: how much likelier than by chance."""
+    """Log potential of a token's label (rows) and its group's label (columns): how much likelier than by chance."""
     n = np.full((K, K), 0.5)
     for (a, b), k in pairs.items():
         n[a, b] += k
-        n[b, a] += k
     p = n / n.sum()
     return np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -2.0, 2.0).astype(np.float32)
 
 
-def posterior(model: dict, chains: list[list[list[int]]], edges: list[tuple[int, int, int, int]]) -> list[np.ndarray]:
+def group_label(labels: list[int]) -> int:
+    """The label of a group of similar tokens: that which most of its items have, 0 where none is an item."""
+    items_ = Counter(x for x in labels if x)
+    return min(items_, key=lambda x: (-items_[x], x)) if items_ else 0
+
+
+def posterior(model: dict, chains: list[list[list[int]]], edges: list[tuple[int, int, int]]) -> list[np.ndarray]:
     """Label probabilities of every token of every chain, by loopy belief propagation.
 
-    edges are (chain, place, chain, place). Chains of like length are passed
-    together, as many as BATCH_CELLS allows, so a long chain costs no padding
-    of others; between the passes every skip edge sends a message each way,
-    made from the sender's belief without what the edge itself brought it.
+    edges are (group, chain, place): every member of a group of similar tokens
+    has a skip edge to a node of the group, so that all members are two steps
+    apart, however many they are. Chains of like length are passed together, as
+    many as BATCH_CELLS allows, so a long chain costs no padding of others.
+    Between the passes members and groups send each other messages, made from
+    the sender's belief without what the edge itself brought it, until no
+    belief moves by more than SETTLED or ROUNDS are over.
     """
     if not chains:
         return []
@@ -212,27 +242,31 @@ def posterior(model: dict, chains: list[list[list[int]]], edges: list[tuple[int,
         for t in range(0, length, BATCH_CELLS):  # features of a part at a time: they take the most room
             x, part = _padded([chains[i][t : t + BATCH_CELLS] for i in mine], len(model["w"]) - 1)
             base[place[:, t : t + BATCH_CELLS][part]] = model["w"][x].sum(2)[part]
-    a = np.array([at[e[0]] + e[1] for e in edges], np.int64)
-    b = np.array([at[e[2]] + e[3] for e in edges], np.int64)
-    to_a, to_b = np.zeros((len(a), K), np.float32), np.zeros((len(a), K), np.float32)
-    belief = base
-    for turn in range(ROUNDS if len(a) else 1):
+    token = np.array([at[c] + i for _, c, i in edges], np.int64)
+    _, hub = np.unique(np.array([g for g, _, _ in edges], np.int64), return_inverse=True)
+    moved = set(token.tolist())
+    linked = [g for g in groups if not moved.isdisjoint(g[1][g[0]].tolist())]  # only these change between rounds
+    to_token = np.zeros((len(token), K), np.float32)
+    belief, before = np.empty_like(base), None
+    for turn in range(ROUNDS):
         extra = np.zeros_like(base)
-        if turn:
-            np.add.at(extra, a, to_a)
-            np.add.at(extra, b, to_b)
-        belief = np.empty_like(base)
-        for mask, place in groups:
+        np.add.at(extra, token, to_token)
+        for mask, place in linked if turn else groups:
             pot = base[place] + extra[place]
             pot[~mask] = 0
             if pot.shape[1] > CHAIN:  # the sums along a long chain outgrow single precision
                 pot = pot.astype(np.float64)
             alpha, beta, z = _forward_backward(pot, model["trans"], mask)
             belief[place[mask]] = (alpha + beta - z[:, None, None])[mask]
-        if len(a) and turn < ROUNDS - 1:
-            from_a = _lse(model["skip"] + (belief[a] - to_a)[:, :, None], 1)
-            from_b = _lse(model["skip"] + (belief[b] - to_b)[:, :, None], 1)
-            to_b, to_a = from_a - _lse(from_a, 1)[:, None], from_b - _lse(from_b, 1)[:, None]
+        if not len(token) or (before is not None and np.abs(np.exp(belief[token]) - before).max() < SETTLED):
+            break
+        before = np.exp(belief[token])
+        to_hub = _lse(model["skip"] + (belief[token] - to_token)[:, :, None], 1)
+        to_hub -= _lse(to_hub, 1)[:, None]
+        told = np.zeros((hub.max() + 1, K), np.float32)
+        np.add.at(told, hub, to_hub)
+        to_token = _lse(model["skip"] + (told[hub] - to_hub)[:, None, :], 2)
+        to_token -= _lse(to_token, 1)[:, None]
     prob = np.exp(belief)
     return [prob[at[i] : at[i + 1]] for i in range(len(chains))]
 
@@ -246,19 +280,19 @@ def _key(word: str) -> str:
     return "".join(c for c in plain if c.isalpha() and not unicodedata.combining(c))
 
 
-def chains_of(piece: Piece, longest: int | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
-    """The chains (first token, last + 1) of a text and the skip edges between them: its windows, or parts of them of at most `longest`."""
+def chains_of(piece: Piece, longest: int | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """The chains (first token, last + 1) of a text, and skip edges (group, chain, place) of its repeated or similar tokens.
+
+    Chains are the windows of the text, or parts of them of at most `longest`.
+    """
     spans = [(a, min(a + (longest or hi), hi)) for lo, hi in piece.windows() for a in range(lo, hi, longest or hi)]
-    edges, last = [], {}
+    groups: dict[str, list[tuple[int, int]]] = {}
     for c, (lo, hi) in enumerate(spans):
         for i in range(lo, hi):
             w = piece.words[i]
             if len(w) >= 3 and w[0].isalpha() and (w[0].isupper() or piece.classes[i] or i in piece.marks):
-                key = _key(w)
-                if key in last:
-                    edges.append((*last[key], c, i - lo))
-                last[key] = (c, i - lo)
-    return spans, edges
+                groups.setdefault(_key(w), []).append((c, i - lo))
+    return spans, [(n, *x) for n, g in enumerate(groups.values()) if len(g) > 1 for x in g]
 
 
 def silver(piece: Piece) -> list[int]:
@@ -286,7 +320,24 @@ def is_certain(piece: Piece, at: list[int]) -> bool:
     return len(kinds) >= 2 and ((ends[0] in first and ends[1] in second) or (ends[0] in second and any(k in first for k in kinds[1:])))
 
 
-def items(piece: Piece, text: str, spans: list[tuple[int, int]], probs: list[np.ndarray]) -> list[tuple[int, int, int]]:
+def read(model: dict, pieces: list[Piece | None], skip: bool = True) -> list[list[tuple[int, int, int]]]:
+    """The items of each text, by the field; skip=False leaves the skip edges out."""
+    index, spans, chains, edges, groups = model["index"], [], [], [], 0
+    for piece in pieces:
+        s, e = chains_of(piece) if piece else ([], [])
+        if skip:
+            edges += [(groups + g, len(chains) + c, i) for g, c, i in e]
+        groups += len(e)
+        chains += [[[index[x] for x in piece.features(i) if x in index] for i in range(*c)] for c in s]
+        spans.append(s)
+    probs, at, out = posterior(model, chains, edges), 0, []
+    for piece, s in zip(pieces, spans):
+        out.append(items(piece, s, probs[at : at + len(s)]) if s else [])
+        at += len(s)
+    return out
+
+
+def items(piece: Piece, spans: list[tuple[int, int]], probs: list[np.ndarray]) -> list[tuple[int, int, int]]:
     """(start, end, label) of the items of a text, in order and apart."""
     score = np.zeros((len(piece.words), K), np.float32)
     for (lo, hi), p in zip(spans, probs):
@@ -295,16 +346,16 @@ def items(piece: Piece, text: str, spans: list[tuple[int, int]], probs: list[np.
     found: list[tuple[float, int, int, int]] = []
     for start, end, label, _ in piece.found:
         mine = [i for i in range(np.searchsorted(starts, start), np.searchsorted(starts, end)) if piece.words[i][0].isalnum()]
-        if mine and score[mine, label].mean() > 0.5:
+        if mine and score[mine, label].mean() > FORM:
             found.append((end - start + 1000, start, end, label))
     for lo, hi in spans:
         for a, b, at in piece.name_spans(lo, hi):
             words = [i for i in at if piece.classes[i] != "part"]
-            # Every word must look like part of a name; an initial alone proves nothing.
+            # Every word must look like part of a name, the more so where the lexicon doesn't know both; an initial alone proves nothing.
             full = [i for i in words if len(piece.words[i]) > 1]
-            if len(words) >= 2 and full and min(score[i, NAME] for i in full) > 0.3 and score[full, NAME].mean() > 0.5:
+            certain = is_certain(piece, at)
+            if len(words) >= 2 and full and min(score[i, NAME] for i in full) > (FORM if certain else UNSURE):
                 end = starts[b - 1] + len(piece.words[b - 1])
-                certain = is_certain(piece, at)
                 found.append((end - starts[a] + 500 * certain, starts[a], end, NAME))
     out: list[tuple[int, int, int]] = []
     for _, start, end, label in sorted(found, reverse=True):
@@ -316,31 +367,54 @@ def items(piece: Piece, text: str, spans: list[tuple[int, int]], probs: list[np.
 # ---- over a corpus --------------------------------------------------------------------------------------------------
 
 
-def fit(documents: DataFrame, lexicon: dict[str, str], train_docs: int = TRAIN_DOCS) -> dict:
-    """The field's features, weights, transitions and skip potential, from about train_docs documents.
+def _lexicons(rows: pd.DataFrame, every: Broadcast | None) -> list[dict[str, str]]:
+    """The lexicon of each row: the same for every one, or the row's own."""
+    return [every.value] * len(rows) if every is not None else [dict(x) if x is not None else {} for x in rows["own"]]
+
+
+def sampled(documents: DataFrame, train_docs: int) -> DataFrame:
+    """The at most train_docs documents with text whose hashed ids are least: the same on every run, whatever the partitions."""
+    order = ["_h", "doc_id", "text"]
+    return documents.where("text is not null").withColumn("_h", F.xxhash64("doc_id", F.lit(11))).orderBy(*order).limit(train_docs)
 
-    The documents are those whose hashed id is 0 modulo a number that makes
-    them about train_docs; the bound holds for any size of the corpus.
+
+def fit(documents: DataFrame, train_docs: int = TRAIN_DOCS, lexicon: Broadcast | None = None) -> dict:
+    """The field's features, weights, transitions, skip potential and common words, from a sample of at most train_docs documents.
+
+    documents have doc_id, text and, unless a lexicon for all is given, own: the
+    names that occur in the text. Labels come from forms and from names of which both parts are in the lexicon. So
+    that the field does not just learn these rules by heart, in about half of the
+    documents it is not told what the lexicon knows of some words, in half of
+    them not which form a candidate has: there the words around must do. Words
+    between capitals that are in neither are the examples of what is no name.
+    At most train_docs * 8 chains, in the order of the hashed ids, are used.
     """
-    total = documents.count()
-    modulus = max(1, total // train_docs)
-    sample = documents.where((F.pmod(F.xxhash64("doc_id"), F.lit(modulus)) == 0) & F.col("text").isNotNull()).select("text")
+    sample = checkpoint(sampled(documents, train_docs))
+    word = F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_])\p{Ll}[\p{L}'’\-]+"), F.lit(0)))
+    common = sample.select(word.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = frozenset(r["w"] for r in common.orderBy(F.desc("n"), "w").limit(MAX_FEATURES).collect())
 
     def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for text in f["text"]:
-                piece = Piece(text, lexicon)
+            for key, doc, text, names in zip(f["_h"], f["doc_id"], f["text"], _lexicons(f, lexicon)):
+                piece = Piece(text, names, common)
                 spans, edges = chains_of(piece, CHAIN)
                 truth = silver(piece)
-                pairs = [[truth[spans[a][0] + i], truth[spans[b][0] + j]] for a, i, b, j in edges]
+                groups: dict[int, list[int]] = {}
+                for g, c, i in edges:
+                    groups.setdefault(g, []).append(truth[spans[c][0] + i])
+                pairs = [[x, group_label(g)] for g in groups.values() for x in g]
+                rng = np.random.default_rng(key % 2**63)
+                mine = sorted({w.lower() for w in piece.words} & names.keys())
+                piece.hide({w for w in mine if rng.random() < HIDDEN}, rng.random() < HIDDEN)
                 for n, (lo, hi) in enumerate(spans):
-                    yield pd.DataFrame(
-                        {"features": [[piece.features(i) for i in range(lo, hi)]], "labels": [truth[lo:hi]], "pairs": [pairs if n == 0 else []]}
-                    )
+                    features = [[piece.features(i) for i in range(lo, hi)]]
+                    yield pd.DataFrame({"_h": key, "doc_id": doc, "n": n, "features": features, "labels": [truth[lo:hi]], "pairs": [pairs if n == 0 else []]})
 
-    rows = sample.mapInPandas(label, "features array<array<string>>, labels array<int>, pairs array<array<int>>").limit(train_docs * 8).collect()
+    schema = "_h long, doc_id long, n int, features array<array<string>>, labels array<int>, pairs array<array<int>>"
+    rows = sample.mapInPandas(label, schema).orderBy("_h", "doc_id", "n").limit(train_docs * 8).collect()
     counts: Counter = Counter(x for r in rows for f in r["features"] for x in f)
-    kept = [x for x, n in counts.most_common(MAX_FEATURES) if n >= MIN_COUNT]
+    kept = [x for x, n in sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:MAX_FEATURES] if n >= MIN_COUNT]
     index = {x: i for i, x in enumerate(kept)}
     chains = [[[index[x] for x in f if x in index] for f in r["features"]] for r in rows]
     if chains:
@@ -348,7 +422,7 @@ def fit(documents: DataFrame, lexicon: dict[str, str], train_docs: int = TRAIN_D
     else:
         w, trans = np.zeros((1, K), np.float32), np.zeros((K, K), np.float32)
     skip = skip_potential(Counter(tuple(p) for r in rows for p in r["pairs"]))
-    return {"index": index, "w": w, "trans": trans, "skip": skip}
+    return {"index": index, "w": w, "trans": trans, "skip": skip, "common": common}
 
 
 def placeholders(text: str, found: list[tuple[int, int, int]]) -> str:
@@ -359,44 +433,38 @@ def placeholders(text: str, found: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def redact(documents: DataFrame, known: DataFrame, train_docs: int = TRAIN_DOCS, per_batch: int = 128) -> DataFrame:
+def redact(documents: DataFrame, known: DataFrame, train_docs: int = TRAIN_DOCS, most_names: int = FEW_ROWS, per_batch: int = 128) -> DataFrame:
     """(doc_id, redacted, items): each text with every item replaced by a placeholder of its type, all else unchanged.
 
     items holds type, exact value and place (in code points). A null text
     stays null and has no items; an empty one stays empty. Texts are read
     whole. Names in known may be null or repeated; without known names only the
-    other types, and names that their context gives away, are found. Only the
-    lexicon and the field, both bounded, go to every task; nothing is shuffled.
+    other types, and names that their context gives away, are found. Up to
+    most_names names of the lexicon go to every task, and nothing but words and
+    counts is shuffled; of a larger lexicon each document gets, by a join, the
+    names that it holds, with the same result.
     """
-    sc = documents.sparkSession.sparkContext
+    spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
-    lexicon = learned_names(docs, known)
-    shared = sc.broadcast((lexicon, fit(docs, lexicon, train_docs)))
+    names, every, told = learned_names(docs, known), None, docs
+    if names.count() <= most_names:
+        every = spark.sparkContext.broadcast(dict(names.select("name", "kind").collect()))  # counted just above
+    else:
+        told = checkpoint(own_lexicons(docs, names))
+    shared = spark.sparkContext.broadcast(fit(told, train_docs, every))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, model = shared.value
-        index = model["index"]
+        model = shared.value
         for whole in frames:
             for lo in range(0, len(whole), per_batch):
                 f = whole.iloc[lo : lo + per_batch]
-                pieces, spans, chains, edges = [], [], [], []
-                for text in f["text"]:
-                    piece = Piece(text, lexicon) if text else None
-                    s, e = chains_of(piece) if piece else ([], [])
-                    edges += [(a + len(chains), i, b + len(chains), j) for a, i, b, j in e]
-                    chains += [[[index[x] for x in piece.features(i) if x in index] for i in range(*c)] for c in s]
-                    pieces.append(piece)
-                    spans.append(s)
-                probs = posterior(model, chains, edges)
-                texts, found, at = [], [], 0
-                for text, piece, s in zip(f["text"], pieces, spans):
-                    mine = items(piece, text, s, probs[at : at + len(s)]) if s else []
-                    at += len(s)
-                    texts.append(placeholders(text, mine) if mine else text)
-                    found.append([{"pii_type": LABELS[k], "pii_value": text[a:b], "start": a, "end": b} for a, b, k in mine])
+                pieces = [Piece(t, names, model["common"]) if t else None for t, names in zip(f["text"], _lexicons(f, every))]
+                mine = read(model, pieces)
+                texts = [placeholders(t, m) if m else t for t, m in zip(f["text"], mine)]
+                found = [[{"pii_type": LABELS[k], "pii_value": t[a:b], "start": a, "end": b} for a, b, k in m] for t, m in zip(f["text"], mine)]
                 yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy(), "redacted": texts, "items": found})
 
-    return docs.mapInPandas(run, ITEMS)
+    return told.mapInPandas(run, ITEMS)
 
 
 def found_items(redacted: DataFrame) -> DataFrame:

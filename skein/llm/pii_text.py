@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+import unicodedata
+from collections.abc import Iterator, Mapping, Set
+
+import regex
 
 #: Labels of the tokens; the first is "no item".
 LABELS = ("other", "email", "phone", "id_number", "street", "name")
@@ -61,11 +66,12 @@ TITLES = frozenset("dr prof mr mrs ms miss mme mlle m herr frau sr sra srta dra
 #: What a line must have to hold a telephone or identity number; two capitalised words in a row.
 _DIGITS = re.compile(r"\d(?:[ .\-/()+A-Z]{0,3}\d){5}")
 _DIGIT = re.compile(r"\d")
-_PAIR = re.compile(r"[A-ZÀ-ÖØ-Þ][\w'’.\-]* [A-ZÀ-ÖØ-Þ]")
+_CAPITALS = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Lu")
+_PAIR = re.compile(rf"[{_CAPITALS}][\w'’.\-]* [{_CAPITALS}]")
 #: The blanks of Unicode but the ordinary one; each is a single character, so a copy without them has the same places.
 WIDE_BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 _WIDE = re.compile(f"[{WIDE_BLANKS}]")
-_BLANKS = str.maketrans({c: " " for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\r"})
+BLANKS = str.maketrans({c: " " for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\r"})
 
 
 def plain_blanks(text: str) -> str:
@@ -73,31 +79,80 @@ def plain_blanks(text: str) -> str:
     return text if text.isascii() else _WIDE.sub(" ", text)
 
 
-def candidates(line: str) -> list[tuple[int, int, int, str]]:
-    """(start, end, label, form) of every stretch of a line that has the form of an item other than a name."""
-    line = plain_blanks(line)
+def _emails(line: str) -> list[tuple[int, int, int, str]]:
+    found = []
+    for m in EMAIL.finditer(line):
+        local = re.match(r"[\w.+'\-]+", m[0])[0].lower()
+        remote = line[m.end() : m.end() + 2]
+        if local in NO_PERSON or re.match(r":[\w/~]", remote) or line[max(0, m.start() - 3) : m.start()] == "://":
+            continue
+        found.append((m.start(), m.end(), 1, "email"))
+    return found
+
+
+def _numbers(line: str) -> list[tuple[int, int, int, str]]:
     found = []
-    if AT_SIGN.search(line):
-        for m in EMAIL.finditer(line):
-            local = re.match(r"[\w.+'\-]+", m[0])[0].lower()
-            remote = line[m.end() : m.end() + 2]
-            if local in NO_PERSON or re.match(r":[\w/~]", remote) or line[max(0, m.start() - 3) : m.start()] == "://":
-                continue
-            found.append((m.start(), m.end(), 1, "email"))
     if _DIGITS.search(line):
         for m in PHONE.finditer(line):
             if 9 <= sum(c.isdigit() for c in m[0]) <= 14:
                 found.append((m.start(), m.end(), 2, "phone"))
         found.extend((m.start(), m.end(), 3, m.lastgroup) for m in ID_NUMBER.finditer(line))
-    if _DIGIT.search(line):
-        for m in STREET.finditer(line):
-            end = m.end()
-            if m.lastgroup == "en" and line[end - 1] == "." and _SHORT.search(m[0]) and line[end : end + 1] not in (".", ",", ";", "'", '"'):
-                end -= 1
-            found.append((m.start(), end, 4, "street_" + m.lastgroup))
+    for m in STREET.finditer(line):
+        end = m.end()
+        if m.lastgroup == "en" and line[end - 1] == "." and _SHORT.search(m[0]) and line[end : end + 1] not in (".", ",", ";", "'", '"'):
+            end -= 1
+        found.append((m.start(), end, 4, "street_" + m.lastgroup))
+    return found
+
+
+def _lines_with(anchor: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of every line of text that anchor is found in."""
+    at = 0
+    while (m := anchor.search(text, at)) is not None:
+        start, end = text.rfind("\n", at, m.start()) + 1 or at, text.find("\n", m.end())
+        end = len(text) if end < 0 else end
+        yield start, end
+        at = end + 1
+
+
+def candidates(text: str) -> list[tuple[int, int, int, str]]:
+    """(start, end, label, form) of every stretch of a text that has the form of an item other than a name; none crosses a line."""
+    text = plain_blanks(text)
+    found = []
+    for anchor, read in ((AT_SIGN, _emails), (_DIGIT, _numbers)):
+        for a, b in _lines_with(anchor, text):
+            found += [(s + a, e + a, k, form) for s, e, k, form in read(text[a:b])]
     return found
 
 
+_NAME = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}?\p{L}+)*"
+_PART = rf"(?:(?:{'|'.join(sorted(PARTICLES))}) )*(?:al-)?"
+_FRONT, _BACK = r"(?<![\p{L}\p{N}._@'’\-])", r"(?![\p{L}\p{N}'’@_\-]|\.\p{L})"
+#: Two capitalised words beside each other, perhaps with initial and particles; and with a comma between them.
+_BESIDE = regex.compile(rf"{_FRONT}({_NAME}) (?:\p{{Lu}}\. )?{_PART}({_NAME}){_BACK}(, \p{{Lu}})?")
+_COMMA = regex.compile(rf"{_FRONT}({_NAME}), ({_NAME}){_BACK}( ?[:\d#]| no\.)?")
+_AFTER_WORD = regex.compile(r"[\p{L}.] $")
+_TWO = re.compile(rf"[{_CAPITALS}][\w'’.\-]*,? {_PART}[{_CAPITALS}]")
+
+
+def name_pairs(text: str) -> Iterator[tuple[str, str, str, bool]]:
+    """(form, left, right, open), lower case, of every two capitalised words that could be a name.
+
+    form is 'beside', 'comma' or, if no other word stands before, 'first' too.
+    open says that what follows speaks against a name: after two words beside
+    each other a comma and a capital, after a comma form a number.
+    """
+    text = plain_blanks(text)
+    for a, b in _lines_with(_TWO, text):
+        line = text[a:b]
+        for m in _BESIDE.finditer(line, overlapped=True):
+            yield "beside", m[1].lower(), m[2].lower(), m[3] is not None
+        for m in _COMMA.finditer(line, overlapped=True):
+            yield "comma", m[1].lower(), m[2].lower(), m[3] is not None
+            if not _AFTER_WORD.search(line, max(0, m.start() - 2), m.start()):
+                yield "first", m[1].lower(), m[2].lower(), m[3] is not None
+
+
 def shape(word: str) -> str:
     if word[0].isdigit():
         return f"d{min(len(word), 9)}"
@@ -125,34 +180,44 @@ def name_class(word: str, lexicon: dict[str, str]) -> str:
 
 
 class Piece:
-    """The tokens of a text that can be of interest: words, places, name classes, candidates."""
+    """The tokens of a text that can be of interest: words, places, name classes, candidates.
+
+    common are words that the corpus has in lower case too. Every line is read;
+    tokens are kept only of lines that can hold an item.
+    """
 
-    __slots__ = ("words", "starts", "classes", "marks", "found")
+    __slots__ = ("words", "starts", "classes", "marks", "found", "plain", "hidden")
 
-    def __init__(self, text: str, lexicon: dict[str, str]):
+    def __init__(self, text: str, lexicon: Mapping[str, str], common: Set[str] = frozenset()):
         self.words: list[str] = []
         self.starts: list[int] = []
-        self.found: list[tuple[int, int, int, str]] = []
-        names, at = lexicon.keys(), 0
-        for line in plain_blanks(text).split("\n"):
-            mine = candidates(line)
-            self.found += [(s + at, e + at, k, form) for s, e, k, form in mine]
-            # Every line is read; tokens are needed only of those that can hold an item.
-            if mine or _PAIR.search(line) or not names.isdisjoint(line.lower().translate(_BLANKS).split()):
-                for m in TOKEN.finditer(line):
-                    self.words.append(m[0])
-                    self.starts.append(m.start() + at)
-                self.words.append("\n")
-                self.starts.append(at + len(line))
-            at += len(line) + 1
+        text = plain_blanks(text)
+        self.found = candidates(text)
+        lines = dict(_lines_with(_PAIR, text))
+        for start, _, _, _ in self.found:
+            lines[text.rfind("\n", 0, start) + 1] = text.find("\n", start) % (len(text) + 1)
+        low = text.lower()
+        if len(low) != len(text):  # a letter whose lower case is longer would move all places
+            low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
+        if not lexicon.keys().isdisjoint(low.translate(BLANKS).split()):
+            at = 0
+            for line in low.split("\n"):
+                if at not in lines and not lexicon.keys().isdisjoint(line.translate(BLANKS).split()):
+                    lines[at] = at + len(line)
+                at += len(line) + 1
+        for at, end in sorted(lines.items()):
+            for m in TOKEN.finditer(text, at, end):
+                self.words.append(m[0])
+                self.starts.append(m.start())
+            self.words.append("\n")
+            self.starts.append(end)
         self.classes = [name_class(w, lexicon) if w[0].isalpha() else "" for w in self.words]
+        self.plain = ["v" if w.lower() in common else "" for w in self.words] if common else [""] * len(self.words)
+        self.hidden: Set[int] = frozenset()
         self.marks: dict[int, tuple[int, str]] = {}
-        if self.found:
-            import bisect
-
-            for start, end, label, form in sorted(self.found, key=lambda c: c[0] - c[1]):
-                for i in range(bisect.bisect_left(self.starts, start), bisect.bisect_left(self.starts, end)):
-                    self.marks.setdefault(i, (label, form))
+        for start, end, label, form in sorted(self.found, key=lambda c: c[0] - c[1]):
+            for i in range(bisect.bisect_left(self.starts, start), bisect.bisect_left(self.starts, end)):
+                self.marks.setdefault(i, (label, form))
 
     def windows(self, reach: int = 4) -> list[tuple[int, int]]:
         """Stretches of tokens around every anchor: a candidate, a word that can be a name, two capitalised words in a row."""
@@ -172,26 +237,38 @@ class Piece:
                 out.append((a, b))
         return out
 
+    def hide(self, words: Set[str], marks: bool) -> None:
+        """From now on features don't say what the lexicon knows of `words` (lower case), nor, with marks, which form a candidate has."""
+        self.hidden = {i for i, w in enumerate(self.words) if w.lower() in words}
+        self.classes = ["" if i in self.hidden else c for i, c in enumerate(self.classes)]
+        if marks:
+            self.hidden |= self.marks.keys()
+            self.marks = {}
+
     def features(self, i: int) -> list[str]:
         """Names of the features of token i."""
-        words, classes = self.words, self.classes
+        words, classes, plain, hidden = self.words, self.classes, self.plain, self.hidden
 
         def at(j: int) -> tuple[str, str, str]:
             if not 0 <= j < len(words):
                 return "^", "", "^"
             w = words[j]
             c = classes[j]
-            return ("*" if c in ("given", "family", "both") else w.lower()), c, shape(w)
+            return ("*" if c in ("given", "family", "both") or j in hidden else w.lower()), c, shape(w)
 
         w, c, s = at(i)
         w1, c1, s1 = at(i - 1)
         w2, c2, s2 = at(i - 2)
         n1, d1, t1 = at(i + 1)
         n2, d2, t2 = at(i + 2)
+        v = plain[i]
         out = [
-            "bias", f"w={w}", f"s={s}", f"c={c}", f"-1={w1}", f"-2={w2}", f"+1={n1}", f"+2={n2}", f"s-1={s1}|{s}", f"s+1={s}|{t1}",
+            "bias", f"s={s}", f"c={c}", f"-1={w1}", f"-2={w2}", f"+1={n1}", f"+2={n2}", f"s-1={s1}|{s}", f"s+1={s}|{t1}",
             f"c-1={c1}|{c}|{s}", f"c+1={c}|{d1}|{s}", f"c-2={c2}|{s1}|{c}", f"c+2={c}|{t1}|{d2}", f"-12={w2}|{w1}", f"+12={n1}|{n2}",
+            f"k-1={c1}|{c}", f"k+1={c}|{d1}", f"v={v}|{c}|{s}", f"v+1={s}|{t1}|{v}|{plain[i + 1] if i + 1 < len(words) else ''}", f"v-1={s1}|{s}|{plain[i - 1] if i else ''}|{v}",
         ]
+        if i not in hidden:
+            out.append(f"w={w}")
         mark = self.marks.get(i)
         if mark is not None:
             out += [f"m={mark[1]}", f"m={mark[1]}|{w1}"]

@@ -189,7 +189,7 @@ def test_redaction_finds_names_and_keeps_the_rest(spark):
 def test_skip_edges_join_similar_tokens():
     piece = Piece("Reviewed-by: Amara Quellmar\nx\nMail AMARA.quellmar@kontor.example", {"amara": "given", "quellmar": "family"})
     _, edges = P.chains_of(piece)
-    assert len(edges) == 2
+    assert len(edges) == 4 and len({g for g, _, _ in edges}) == 2
 
 
 def test_field_agrees_with_enumeration():
@@ -225,7 +225,7 @@ def test_names_of_a_long_list_are_found_across_chains():
     names[P.NAME] = 2.0
     model = {"w": np.stack([names, -names, names * 0]), "trans": np.zeros((P.K, P.K), "float32"), "skip": np.zeros((P.K, P.K), "float32")}
     chains = [[[0 if piece.classes[i] else 1] for i in range(*s)] for s in spans]
-    got = P.items(piece, text, spans, P.posterior(model, chains, edges))
+    got = P.items(piece, spans, P.posterior(model, chains, edges))
     assert [text[a:b] for a, b, k in got if k == P.NAME] == [f"{g} {f}" for g, f in people]
 
 
@@ -241,3 +241,61 @@ def test_field_holds_on_chains_of_any_length():
     assert [len(p) for p in got] == [1, n, 2] and np.allclose(got[1].sum(1), 1, atol=1e-4)
     part = P.posterior(model, [long[n - 60 :]], [])[0]
     assert np.allclose(got[1][-20:], part[-20:], atol=1e-3)
+
+
+def test_every_mention_hears_of_a_clear_one():
+    """Of twenty mentions only the first is clear; with skip edges all are, also the last."""
+    import numpy as np
+
+    clear, vague = np.zeros(P.K, "float32"), np.zeros(P.K, "float32")
+    clear[P.NAME], vague[0] = 6.0, 0.1
+    skip = np.full((P.K, P.K), -2.0, "float32") + 4 * np.eye(P.K, dtype="float32")
+    model = {"w": np.stack([clear, vague, vague * 0]), "trans": np.zeros((P.K, P.K), "float32"), "skip": skip}
+    chains = [[[0 if n == 0 else 1]] for n in range(20)]
+    alone = P.posterior(model, chains, [])
+    heard = P.posterior(model, chains, [(0, n, 0) for n in range(20)])
+    assert all(p[0, P.NAME] < 0.2 for p in alone[1:]) and all(p[0, P.NAME] > 0.5 for p in heard)
+
+
+def _people(n, given, family, rnd):
+    forms = ["Reviewed-by: {}\nThe queue is shut.", "Thanks to {} for the trace!\n", "Please ask {} before touching the table.\r\n", "author: {}", "| {} | on call |\n"]
+    decoys = ["The Grace Period ends. ", "Rose Tree nodes are shared. ", "public Envelope ScanShard() ", "See Street View tiles. "]
+    return [(i, rnd.choice(decoys) * (i % 2) + rnd.choice(forms).format(f"{rnd.choice(given)} {rnd.choice(family)}"), "en", "x") for i in range(n)]
+
+
+GIVEN, FAMILY = ["Amara", "Rurik", "Noor", "Otto", "Femke", "Zoë", "Rose", "Grace"], ["Quellmar", "Birkvane", "Corvessy", "Halvessen", "Ostrelin"]
+
+
+def _known(spark, given=GIVEN, family=FAMILY):
+    return spark.createDataFrame([(n, "given") for n in given] + [(n, "family") for n in family] + [(None, "given"), ("Otto", "given")], "name string, name_kind string")
+
+
+def test_field_finds_names_that_no_lexicon_has(spark):
+    """Held-out names: both words are in no lexicon and each stands beside one partner only, so nothing can be learned of them."""
+    rnd = random.Random(10)
+    docs = _people(400, GIVEN, FAMILY, rnd)
+    new = [(1000 + i, f"{'Rose Tree nodes are shared. ' * (i % 2)}Reviewed-by: Zan{a} Thol{a}vik\nThe queue is shut.", "en", "x") for i, a in enumerate("bdfgklmnprst")]
+    out = {r["doc_id"]: [i["pii_value"] for i in r["items"]] for r in P.redact(spark.createDataFrame(docs + new, DOC), _known(spark)).collect()}
+    assert sum(out[d] == [t.split(": ")[1].split("\n")[0]] for d, t, _, _ in new) >= 9
+    assert not {v for vs in out.values() for v in vs} & {"Grace Period", "Rose Tree", "Envelope ScanShard", "Street View"}
+
+
+def test_lexicon_by_broadcast_and_by_join_are_the_same(spark):
+    docs = spark.createDataFrame([*_people(150, GIVEN, FAMILY, random.Random(11)), (None, "Ask Amara Quellmar.", "en", "x"), (3, "al-Noor Birkvane, AMARA-ROSE Corvessy", "en", "x")], DOC)
+    both = [sorted((r["doc_id"] or -1, r["redacted"]) for r in P.redact(docs, _known(spark), most_names=m).collect()) for m in (1000, 0)]
+    assert both[0] == both[1] and (-1, "Ask [NAME].") in both[0]
+
+
+def test_training_rows_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame(_people(90, GIVEN, FAMILY, random.Random(12)), DOC)
+    lexicon = spark.sparkContext.broadcast({n.lower(): "given" for n in GIVEN} | {n.lower(): "family" for n in FAMILY})
+    one, other = (P.fit(docs.repartition(n), 40, lexicon) for n in (1, 7))
+    assert one["index"] == other["index"] and (one["w"] == other["w"]).all() and one["common"] == other["common"]
+
+
+def test_names_are_learned_from_partners(spark):
+    texts = ["Amara Thornwick", "Rurik Thornwick said", "Thornwick, Noor", "Otto Sweep", "Amara Sweep", "Vesna Quellmar", "Vesna Birkvane", "Vesna von Corvessy", "Ask Quellmar", "Thanks Otto. Thanks Amara", None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "x") for i, t in enumerate(texts)], DOC)
+    got = dict(P.learned_names(docs, _known(spark)).collect())
+    assert got["thornwick"] == "family" and got["vesna"] == "given" and not {"sweep", "ask", "thanks"} & got.keys() and got["rose"] == "given"
+    assert P.learned_names(docs.where("false"), _known(spark).where("false")).count() == 0
