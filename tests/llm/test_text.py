@@ -271,13 +271,15 @@ def _known(spark, given=GIVEN, family=FAMILY):
 
 
 def test_field_finds_names_that_no_lexicon_has(spark):
-    """Held-out names: both words are in no lexicon and each stands beside one partner only, so nothing can be learned of them."""
-    rnd = random.Random(10)
-    docs = _people(400, GIVEN, FAMILY, rnd)
-    new = [(1000 + i, f"{'Rose Tree nodes are shared. ' * (i % 2)}Reviewed-by: Zan{a} Thol{a}vik\nThe queue is shut.", "en", "x") for i, a in enumerate("bdfgklmnprst")]
-    out = {r["doc_id"]: [i["pii_value"] for i in r["items"]] for r in P.redact(spark.createDataFrame(docs + new, DOC), _known(spark)).collect()}
-    assert sum(out[d] == [t.split(": ")[1].split("\n")[0]] for d, t, _, _ in new) >= 9
-    assert not {v for vs in out.values() for v in vs} & {"Grace Period", "Rose Tree", "Envelope ScanShard", "Street View"}
+    """Held-out names: in documents that the field wasn't trained on, and of which no word is in the lexicon."""
+    docs = spark.createDataFrame(_people(400, GIVEN, FAMILY, random.Random(10)), DOC)
+    lexicon = {n.lower(): "given" for n in GIVEN} | {n.lower(): "family" for n in FAMILY}
+    model = P.fit(docs, 400, spark.sparkContext.broadcast(lexicon))
+    new = [f"{'Rose Tree nodes are shared. ' * (i % 2)}Reviewed-by: Zan{a} Thol{a}vik\nThe queue is shut." for i, a in enumerate("bdfgklmnprst")]
+    found = P.read(model, [Piece(t, lexicon, model["common"]) for t in new])
+    assert sum([t[a:b] for a, b, _ in f] == [t.split(": ")[1].split("\n")[0]] for t, f in zip(new, found)) >= 10
+    out = {i["pii_value"] for r in P.redact(docs, _known(spark)).collect() for i in r["items"]}
+    assert len(out) > 30 and not out & {"Grace Period", "Rose Tree", "Envelope ScanShard", "Street View"}
 
 
 def test_lexicon_by_broadcast_and_by_join_are_the_same(spark):
