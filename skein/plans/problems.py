@@ -62,12 +62,12 @@ def p2_remaining(spark: SparkSession, d: str) -> DataFrame:
     return N.remaining(_triples(spark, d), list(PIVOTED.values()))
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(current_symbols(table(spark, d, "symbols"), ["parent_id"]))
+def _tree(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
+    return H.hierarchy(current_symbols(table(spark, d, "symbols"), ["parent_id"]), paths)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return H.endless(_tree(spark, d))
+    return H.endless(_tree(spark, d, paths=False))
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -130,6 +130,13 @@ lost as (
   select w.id, min(c.cycle_id) as cycle_id from way w join cyc c on c.id = w.top group by w.id
 )"""
 
+#: Every way up (from id to top, the ids passed) that meets no id twice.
+_UP = """up(id, top, ids) as (
+  select id, id, [id] from cur
+  union all
+  select u.id, l.up, list_append(u.ids, l.up) from up u join link l on l.id = u.top where l.up is not null and not list_contains(u.ids, l.up)
+)"""
+
 _DIRECT = """with first as (select id, min(indexed_at) as since from symbols where id is not null group by id),
 refs as (
   select 'edges.from_id' as ref_field, from_id as holder_id, from_id as missing_id, indexed_at from edges
@@ -157,21 +164,15 @@ having count(*) > 0.01 * (select count(*) from edges)""",
 min(indexed_at) as first_at, max(indexed_at) as last_at from edges group by to_id, kind""",
     "p3_found": f"""{_ENDLESS} select l.id, case when o.id is null then 'below' else 'on' end as state, l.cycle_id
 from lost l left join on_cycle o on o.id = l.id""",
-    "p3_descendants": f"""with recursive {_CURRENT}, way(id, top, n) as (
-  select id, up, 1 from link where up is not null and up <> id
-  union
-  select w.id, l.up, w.n + 1 from way w join link l on l.id = w.top where l.up is not null and n < 200
-), lost as (select distinct id from way where n >= 200), mine as (
-  select id, top, min(n) as distance from way where id not in (select id from lost) group by id, top
-), ring as (
-  select distinct w.id from way w where w.id = w.top
-  union select id from link where id = up
-), under as (
-  select w.id, w.top, w.n from way w where w.id in (select id from lost) and w.id not in (select id from ring)
-), entry as (select u.id, min(u.n) as n from under u where u.top in (select id from ring) group by u.id)
-select top as id, id as descendant_id, distance from mine where id not in (select id from ring) and id not in (select id from entry)
-union all
-select u.top, u.id, u.n from under u join entry e on e.id = u.id and u.n <= e.n""",
+    "p3_descendants": f"""with recursive {_CURRENT}, {_UP}
+select top as id, id as descendant_id, len(ids) - 1 as distance from up where len(ids) > 1""",
+    "p3_paths": f"""{_ENDLESS}, {_UP}, ways as (
+  select u.*, row_number() over (partition by u.id order by len(ids) desc) as r from up u
+  where not exists (select 1 from on_cycle o where o.id <> u.top and list_contains(ids[:-2], o.id)) and not (len(ids) > 1 and ids[1] in (select id from on_cycle))
+) select w.id, case when c.cycle_id is null then w.top end as root_id, len(ids) - 1 as depth, array_to_string(list_reverse(ids), ' > ') as path,
+  case when o.id is not null then 'on' when c.cycle_id is not null then 'below' end as state, c.cycle_id,
+  case when k.parent_id not in (select id from cur) then k.parent_id end as missing_parent
+from ways w join cur k on k.id = w.id left join lost c on c.id = w.id left join on_cycle o on o.id = w.id where r = 1""",
     "p4_found": r"""with rows_ as (
   select snapshot_no, indexed_at,
     array_to_string(list_filter(string_split(replace(file_path, '\', '/'), '/'), lambda s: s <> '' and s <> '.'), '/') as path,

@@ -19,18 +19,15 @@ def current_symbols(symbols: DataFrame, columns: list[str]) -> DataFrame:
     """The current row of each id, with the given columns: that of the greatest indexed_at.
 
     Rows without an id are no symbols. Rows that tie are taken to be identical;
-    where they are not, the greatest by its columns holds, so that the result
-    is the same on every run. Partial aggregation leaves at most one row of an
-    id per task before the shuffle.
+    where they are not, each column has its greatest value among them, so that
+    the result is the same on every run. Every column is an aggregate of its
+    own, so columns that nobody asks for are neither read nor shuffled, and
+    partial aggregation leaves at most one row of an id per task before the shuffle.
     """
+    latest = lambda c: F.max(F.struct(F.col("indexed_at"), F.col(c).alias("_v")))["_v"].alias(c)
+    rows = symbols.where(F.col("id").isNotNull()).groupBy("id")
     rest = [c for c in columns if c != "id"]
-    row = F.struct(F.col("indexed_at").alias("_at"), *[F.col(c) for c in rest])
-    return (
-        symbols.where(F.col("id").isNotNull())
-        .groupBy("id")
-        .agg(F.max(row).alias("_row"))
-        .select("id", *[F.col(f"_row.{c}").alias(c) for c in rest])
-    )
+    return rows.agg(*map(latest, rest)) if rest else rows.agg(F.lit(1)).select("id")
 
 
 def current_edges(edges: DataFrame) -> DataFrame:
@@ -38,18 +35,12 @@ def current_edges(edges: DataFrame) -> DataFrame:
 
     Deliveries carry a time, so the first is the one of the smallest
     indexed_at, and of the smallest line where those tie (unknown lines last).
+    Line and file are aggregates of their own, of which the longer order begins
+    with the shorter one, so both are of the same row and either can be left out.
     """
-    first = F.min(
-        F.struct(
-            F.col("indexed_at"),
-            F.col("line").isNull().alias("_no_line"),
-            F.col("line"),
-            F.col("file_path"),
-        )
-    )
+    order = [F.col("indexed_at"), F.col("line").isNull().alias("_no_line"), F.col("line")]
     return (
         edges.where(F.col("from_id").isNotNull() & F.col("to_id").isNotNull() & F.col("kind").isNotNull())
         .groupBy("from_id", "to_id", "kind")
-        .agg(first.alias("_e"))
-        .select("from_id", "to_id", "kind", F.col("_e.file_path").alias("file_path"), F.col("_e.line").alias("line"))
+        .agg(F.min(F.struct(*order, F.col("file_path")))["file_path"].alias("file_path"), F.min(F.struct(*order))["line"].alias("line"))
     )

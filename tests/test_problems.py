@@ -142,15 +142,31 @@ def brute_tree(links):
     return out
 
 
+def brute_descendants(links):
+    parent = {i: (p or None) for i, p in links}
+    out = set()
+    for i in parent:
+        way = [i]
+        while (p := parent[way[-1]]) in parent and p not in way:
+            way.append(p)
+            out.add((p, i, len(way) - 1))
+    return out
+
+
 @pytest.mark.parametrize("together", [100, 1])
 def test_hierarchy_against_brute_force(spark, together):
     rnd = random.Random(3)
     links = [(f"n{i:02}", rnd.choice([None, "", "gone", f"n{rnd.randrange(60):02}", f"n{max(i - 1, 0):02}"])) for i in range(60)]
-    tree = H.hierarchy(spark.createDataFrame(links, "id string, parent_id string"), largest_together=together, per_bucket=10)
+    links += [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [("s", "s"), ("u", "r3"), ("v", "u"), ("w", "s")]
+    df = spark.createDataFrame(links, "id string, parent_id string")
+    tree = H.hierarchy(df, largest_together=together, per_bucket=10)
     got = {r["id"]: (r["state"], r["cycle_id"], r["root_id"], r["path"]) for r in tree.collect()}
     assert got == brute_tree(links)
     ids = dict(links)
     assert {r["id"]: r["missing_parent"] for r in tree.collect()} == {i: p if p == "gone" else None for i, p in ids.items()}
+    assert {tuple(r) for r in H.descendants(tree).collect()} == brute_descendants(links)
+    bare = H.hierarchy(df, paths=False, largest_together=together, per_bucket=10)
+    assert rows(bare) == rows(tree.drop("path"))
 
 
 def test_hierarchy_of_nothing_and_long_chain(spark):
@@ -162,6 +178,21 @@ def test_hierarchy_of_nothing_and_long_chain(spark):
     assert H.descendants(tree).count() == 300 * 299 // 2
 
 
+def test_walk_of_a_deep_component_takes_little(spark):
+    import resource
+    import time
+
+    import pyarrow as pa
+
+    n = H.LARGEST_TOGETHER
+    ids = [f"src/some/folder/file{i}.py::name::method::{i}" for i in range(n)]
+    batch = pa.RecordBatch.from_pydict({"id": ids, "parent_id": [None, *ids[:-1]], "missing_parent": pa.array([None] * n, pa.string())})
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    deepest = max(max(b["depth"].to_pylist()) for b in H._walk(iter([batch]), False))
+    assert deepest == n - 1 and time.time() - began < 20
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kB
+
+
 def test_current_row_is_the_latest(spark):
     df = spark.createDataFrame([("a", "x", None, 1), ("a", "y", None, 3), ("a", "y", None, 3), (None, "z", None, 9), ("b", None, None, None)], SYM)
     assert rows(current_symbols(df, ["parent_id"])) == [("a", "y"), ("b", None)]
