@@ -213,27 +213,50 @@ def _described(doc: str, name: str) -> Column:
     return F.pandas_udf(run, "description string, own boolean")(doc, name)
 
 
-def base_classes(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """(class_id, base_id) of every extends or implements edge whose base is a known class.
+def base_links(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(class_id, spelling, base_id, how, n_choices) of every extends or implements edge that a class holds.
 
     A base is found by its id, else by its name: in the file of the class, else
-    in its repository (the first part of the path), else anywhere if there is
-    only one of that name.
+    in its repository (the first part of the path), else anywhere; how says
+    where. Where several classes have the name at the nearest of these, there
+    is no base, how is 'ambiguous' and n_choices their number; a base that
+    nothing is called is 'unknown'. An edge of a file's own code is its class's
+    if the file has one class only; else it is 'ambiguous' too, with no class_id
+    and the file's classes as choices, and 'unknown' if the file has none.
     """
     classes = symbols.where(F.col("kind").isin(*CLASS_LIKE, "enum")).select("id", "name", "file_path", F.split("file_path", "/")[0].alias("repo"))
-    links = edges.where("kind in ('extends', 'implements')").select(F.col("from_id").alias("class_id"), F.col("to_id").alias("spelling")).distinct()
+    classes = checkpoint(classes)
+    links = edges.where("kind in ('extends', 'implements') and to_id is not null").select(F.col("from_id").alias("holder"), F.col("to_id").alias("spelling")).distinct()
+    of_file = F.col("holder").endswith("::__module__::class")
+    in_class = links.where(~of_file).join(classes.select(F.col("id").alias("holder"), F.col("id").alias("class_id"), "file_path", "repo"), "holder")
+    one = classes.groupBy("file_path").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_id"), F.min("repo").alias("repo"))
+    loose = links.where(of_file).withColumn("file_path", F.expr("left(holder, length(holder) - 19)")).join(one, "file_path", "left")
+    in_file = loose.where("_n = 1").select("holder", "spelling", F.col("_id").alias("class_id"), "file_path", "repo")
+    held = in_class.select("class_id", "spelling", "file_path", "repo").unionByName(in_file.drop("holder")).distinct()
     bare = F.regexp_replace("spelling", r"[<\[(].*$", "")
-    links = links.join(classes.select(F.col("id").alias("class_id"), "file_path", "repo"), "class_id")
-    links = links.withColumn("name", F.substring_index(F.substring_index(bare, "::", -1), ".", -1))
-    links = checkpoint(links)
-    by_id = links.join(classes.select(F.col("id").alias("spelling")), "spelling", "left_semi").select("class_id", F.col("spelling").alias("base_id"))
-    in_file = classes.groupBy("name", "file_path").agg(F.min("id").alias("_file"))
-    in_repo = classes.groupBy("name", "repo").agg(F.min("id").alias("_repo"))
-    alone = classes.groupBy("name").agg(F.min("id").alias("_any"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
-    named = links.join(by_id.select("class_id", F.col("base_id").alias("spelling")), ["class_id", "spelling"], "left_anti")
-    named = named.join(in_file, ["name", "file_path"], "left").join(in_repo, ["name", "repo"], "left")
-    named = left_join_skewed(named, alone, "name").select("class_id", F.coalesce("_file", "_repo", "_any").alias("base_id"))
-    return by_id.unionByName(named).where("base_id is not null and base_id <> class_id").distinct()
+    held = checkpoint(held.withColumn("name", F.substring_index(F.substring_index(bare, "::", -1), ".", -1)))
+
+    def named(keys: list[str], as_: str) -> DataFrame:
+        return classes.groupBy(*keys).agg(F.struct(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).alias(as_))
+
+    known = held.join(classes.select(F.col("id").alias("spelling"), F.lit(True).alias("_known")), "spelling", "left")
+    known = known.join(named(["name", "file_path"], "_file"), ["name", "file_path"], "left").join(named(["name", "repo"], "_repo"), ["name", "repo"], "left")
+    found = left_join_skewed(checkpoint(known), named(["name"], "_any"), "name")
+    nearest = F.coalesce("_file", "_repo", "_any")
+    where_ = F.when(F.col("_file").isNotNull(), "file").when(F.col("_repo").isNotNull(), "repository").otherwise("anywhere")
+    base = F.when(F.col("_known"), F.col("spelling")).when(nearest["n"] == 1, nearest["id"])
+    how = F.when(F.col("_known"), "id").when(nearest.isNull(), "unknown").when(nearest["n"] > 1, "ambiguous").otherwise(where_)
+    out = found.select("class_id", "spelling", base.alias("base_id"), how.alias("how"), F.when(F.col("_known"), F.lit(1)).otherwise(F.coalesce(nearest["n"], F.lit(0))).cast("long").alias("n_choices"))
+    lost = loose.where("_n is null or _n > 1").select(
+        F.lit(None).cast("string").alias("class_id"), "spelling", F.lit(None).cast("string").alias("base_id"),
+        F.when(F.col("_n") > 1, "ambiguous").otherwise("unknown").alias("how"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_choices"),
+    )
+    return out.unionByName(lost)
+
+
+def base_classes(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(class_id, base_id): the links of base_links that lead to one other class."""
+    return base_links(symbols, edges).where("base_id is not null and base_id <> class_id").select("class_id", "base_id").distinct()
 
 
 def documented_functions(symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -244,7 +267,8 @@ def documented_functions(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     by that of the method of the same name in the nearest class up the
     hierarchy that has one (level says how far; of several as near, the
     smallest id); functions that find none are dropped. Hierarchies may be
-    cyclic: no class is visited twice for the same method.
+    cyclic: no class is visited twice for the same method. A base that several
+    classes could be is none (base_links reports it).
     """
     current = checkpoint(current_symbols(symbols, ["name", "kind", "file_path", "signature", "docstring", "parent_id", "language"]))
     functions = current.where(F.col("kind").isin("function", "method") & F.col("signature").rlike(r"[^\s\p{Z}]"))
@@ -257,20 +281,22 @@ def documented_functions(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     silent = current.where(F.col("kind").isin("function", "method") & ~F.coalesce(F.col("signature").rlike(r"[^\s\p{Z}]"), F.lit(False)))
     silent = silent.withColumn("_d", _described("docstring", "name")).where("_d.own").select("id", "name", "parent_id", "_d.description")
     known = told.where("own").select("id", "name", "parent_id", "description").unionByName(silent).where("parent_id <> ''")
-    source = known.groupBy(F.col("parent_id").alias("at"), "name").agg(F.min(F.struct("id", "description")).alias("found"))
-    source = checkpoint(source)
+    # Only what a class has that is someone's base can be inherited.
+    source = known.withColumnRenamed("parent_id", "at").join(bases.select(F.col("base_id").alias("at")).distinct(), "at", "left_semi")
+    source = checkpoint(source.groupBy("at", "name").agg(F.min(F.struct("id", "description")).alias("found")))
     up = bases.select(F.col("class_id").alias("at"), F.col("base_id").alias("_up"))
+    # Only methods that some documented method is called like, of classes that have a base, can find anything.
     open_ = told.where("not own and parent_id <> ''").select("id", "name", F.col("parent_id").alias("at"))
+    open_ = open_.join(source.select("name").distinct(), "name", "left_semi")
     open_ = checkpoint(open_.join(bases.select(F.col("class_id").alias("at")).distinct(), "at", "left_semi").select("id", "name", "at"))
     seen, resolved, level = open_, None, 0
     while open_.limit(1).count():
         level += 1
         climbed = open_.join(up, "at").select("id", "name", F.col("_up").alias("at")).distinct()
         climbed = checkpoint(climbed.join(seen, ["id", "name", "at"], "left_anti").join(source, ["at", "name"], "left"))
-        here = climbed.where("found is not null").groupBy("id").agg(F.min("found").alias("found"))
-        here = checkpoint(here.withColumn("level", F.lit(level)))
+        here = climbed.where("found is not null").groupBy("id").agg(F.min("found").alias("found")).withColumn("level", F.lit(level))
         resolved = here if resolved is None else resolved.unionByName(here)
-        open_ = climbed.select("id", "name", "at").join(here, "id", "left_anti")
+        open_ = checkpoint(climbed.select("id", "name", "at").join(here.select("id"), "id", "left_anti"))
         seen = seen.unionByName(open_)
     columns = ["id", "language", "signature"]
     own = told.where("own").select(*columns, "description", F.lit("own").alias("source"), F.col("id").alias("described_in"), F.lit(0).alias("level"))

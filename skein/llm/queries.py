@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import docpairs, mixing, pii, tokens
-from skein.tables import table
+from skein.tables import current_symbols, table
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -16,6 +16,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pairs(spark, d).where("source = 'own'").select("id")
 
 
+def p5_bases(spark: SparkSession, d: str) -> DataFrame:
+    current = current_symbols(table(spark, d, "symbols"), ["name", "kind", "file_path"])
+    return docpairs.base_links(current, table(spark, d, "edges"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.document_ids(table(spark, d, "documents"))
 
@@ -43,10 +48,30 @@ def p9_texts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
+    "p5_bases": p5_bases,
     "p7_ids": p7_ids,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_texts": p9_texts,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_bases": r"""with s as (select id, name, kind, file_path, string_split(file_path, '/')[1] as repo from (
+  select *, row_number() over (partition by id order by indexed_at desc) as r from symbols where id is not null) where r = 1),
+c as (select * from s where kind in ('class', 'struct', 'interface', 'enum')),
+l as (select distinct from_id, to_id as spelling, regexp_replace(regexp_replace(to_id, '[<\[(].*$', ''), '^.*(::|\.)', '') as name
+  from edges where kind in ('extends', 'implements') and from_id is not null and to_id is not null),
+f as (select file_path, count(*) as n, min(id) as id, min(repo) as repo from c group by file_path),
+m as (select l.*, f.* from l left join f on l.from_id = f.file_path || '::__module__::class' where l.from_id like '%::\_\_module\_\_::class' escape '\'),
+h as (select c.id as class_id, spelling, l.name, file_path, repo from l join c on c.id = l.from_id union select id, spelling, name, file_path, repo from m where n = 1),
+x as (select h.*, (select count(*) from c where c.id = h.spelling) as known,
+  (select count(*) from c where c.name = h.name and c.file_path = h.file_path) as n1, (select min(id) from c where c.name = h.name and c.file_path = h.file_path) as i1,
+  (select count(*) from c where c.name = h.name and c.repo = h.repo) as n2, (select min(id) from c where c.name = h.name and c.repo = h.repo) as i2,
+  (select count(*) from c where c.name = h.name) as n3, (select min(id) from c where c.name = h.name) as i3 from h),
+y as (select *, case when n1 > 0 then n1 when n2 > 0 then n2 else n3 end as n, case when n1 > 0 then i1 when n2 > 0 then i2 else i3 end as i from x)
+select class_id, spelling, case when known > 0 then spelling when n = 1 then i end as base_id,
+  case when known > 0 then 'id' when n = 0 then 'unknown' when n > 1 then 'ambiguous' when n1 > 0 then 'file' when n2 > 0 then 'repository' else 'anywhere' end as how,
+  case when known > 0 then 1 else n end as n_choices from y
+union all
+select null, spelling, null, case when n > 1 then 'ambiguous' else 'unknown' end, coalesce(n, 0) from m where n is null or n > 1""",
+}

@@ -61,6 +61,47 @@ def test_inherited_documentation(spark):
     assert D.documented_functions(spark.createDataFrame([], s), spark.createDataFrame([], "from_id string, to_id string, kind string")).count() == 0
 
 
+def _brute_inherited(sym, links, own):
+    """Breadth first up the bases from each undocumented method, nearest level first, smallest id on it."""
+    out = {}
+    for i, name, parent in sym:
+        at, seen, level = {parent}, {parent}, 0
+        while i not in own and at and i not in out:
+            level += 1
+            at = {b for a in at for b in links.get(a, ())} - seen
+            seen |= at
+            hits = sorted(j for j, n, p in sym if p in at and n == name and j in own)
+            if hits:
+                out[i] = (hits[0], level)
+    return out
+
+
+def test_inherited_documentation_against_brute_force(spark):
+    rnd = random.Random(5)
+    classes = [f"c{i:02}" for i in range(30)]
+    links = {c: {b for b in rnd.sample(classes, 2) if b != c and rnd.random() < 0.6} for c in classes}
+    methods = [(f"{c}.{n}", n, c) for c in classes for n in ("open", "close", "seal") if rnd.random() < 0.7]
+    own = {i for i, _, _ in methods if rnd.random() < 0.25}
+    s = "id string, name string, kind string, file_path string, signature string, docstring string, parent_id string, language string, indexed_at bigint"
+    sym = [(c, c, "class", "r/f", "class", None, None, "java", 1) for c in classes]
+    sym += [(i, n, "method", "r/f", "void x()", f"Waits for the gate of {c} before it goes on." if i in own else None, c, "java", 1) for i, n, c in methods]
+    edge = [(c, b, rnd.choice(["extends", "implements"])) for c in classes for b in links[c]]
+    df = D.documented_functions(spark.createDataFrame(sym, s), spark.createDataFrame(edge, "from_id string, to_id string, kind string"))
+    got = {r["id"]: (r["described_in"], r["level"]) for r in df.collect()}
+    assert got == {i: (i, 0) for i in own} | _brute_inherited(methods, links, own)
+
+
+def test_bases_of_file_code_and_of_several_choices(spark):
+    s = "id string, name string, kind string, file_path string"
+    sym = [("a", "A", "class", "r/one"), ("b", "B", "class", "r/two"), ("b2", "B2", "class", "r/two"), ("x1", "X", "class", "q/x"), ("x2", "X", "struct", "p/x"), ("e", "E", "interface", "q/e")]
+    edge = [("r/one::__module__::class", "q.E<T>", "implements"), ("r/two::__module__::class", "E", "extends"), ("b", "X", "extends"), ("b", "a", "extends"), ("b2", "Nowhere", "extends"), ("r/none::__module__::class", "E", "extends"), (None, "E", "extends"), ("b", None, "extends")]
+    got = {tuple(r) for r in D.base_links(spark.createDataFrame(sym, s), spark.createDataFrame(edge, "from_id string, to_id string, kind string")).collect()}
+    assert got == {
+        ("a", "q.E<T>", "e", "anywhere", 1), (None, "E", None, "ambiguous", 2), ("b", "X", None, "ambiguous", 2), ("b", "a", "a", "id", 1),
+        ("b2", "Nowhere", None, "unknown", 0), (None, "E", None, "unknown", 0),
+    }
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 
