@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +11,6 @@ from skein.tables import SYMBOL_KINDS, current_symbols
 #: Ids that stand for a file's own code and are never symbols.
 SYNTHETIC = r"::__module__::(?:function|class)$"
 
-#: Levels of the cascade that are joined between two writes.
-LEVELS = 4
-
-
 def references(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Every referring value (ref_field, holder_id, missing_id, period, _at) of all delivered rows; _at is when.
 
@@ -63,7 +57,7 @@ def orphans(symbols: DataFrame, edges: DataFrame, removed: DataFrame) -> DataFra
     """
     first = symbols.where("id is not null").groupBy(F.col("id").alias("missing_id")).agg(F.min("indexed_at").alias("_since"))
     gone = removed.where("id is not null").select(F.col("id").alias("missing_id")).distinct().withColumn("_gone", F.lit(True))
-    refs = references(symbols, edges)
+    refs = checkpoint(references(symbols, edges))
     # One row per id that is referred to: only those absent, or late for their first reference, are looked up again.
     seen = refs.groupBy("missing_id").agg(F.min("_at").alias("_first"))
     looked = seen.join(first, "missing_id", "left").where("_since is null or _since > _first").join(gone, "missing_id", "left")
@@ -74,40 +68,45 @@ def orphans(symbols: DataFrame, edges: DataFrame, removed: DataFrame) -> DataFra
         .when(F.col("_gone"), "removed")
         .otherwise("missing")
     )
-    columns = ["ref_field", "holder_id", "missing_id", "period"]
-    lost = with_bad(refs).withColumn("reason", reason).where("reason is not null")
-    direct = lost.groupBy(*columns, "reason").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("level", F.lit(0))
-    direct = checkpoint(direct)
-
-    # Fixpoint over the current parent links, from the records that are orphaned themselves.
     links = current_symbols(symbols, ["parent_id"]).where("parent_id <> ''")
-    held = direct.where("ref_field = 'symbols.parent_id'").select(F.col("holder_id").alias("id"), F.col("missing_id").alias("parent_id"))
-    links = checkpoint(links)
-    found = checkpoint(links.join(held.distinct(), ["id", "parent_id"], "left_semi").select("id", F.lit(1).alias("level")))
-    # Only symbols that are parents themselves carry the cascade on; leaves are added at the end. A symbol has one
-    # parent, so without the first orphans no circle can be entered, and none is reached twice.
-    inner = links.join(links.select(F.col("parent_id").alias("id")).distinct(), "id", "left_semi")
-    inner = checkpoint(inner.join(found, "id", "left_anti"))
-    lowest, level = found, 1
-    while lowest.limit(1).count():
-        steps = []
-        for _ in range(LEVELS):
-            level += 1
-            lowest = inner.join(lowest.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id", F.lit(level).alias("level"))
-            steps.append(lowest)
-        down = checkpoint(reduce(DataFrame.unionByName, steps))
-        found, lowest = found.unionByName(down), down.where(F.col("level") == level)
-    found = checkpoint(found)
-    leaves = links.join(found.select(F.col("id").alias("parent_id"), "level"), "parent_id").join(found, "id", "left_anti")
-    records = found.unionByName(leaves.select("id", (F.col("level") + 1).alias("level"))).groupBy("id").agg(F.min("level").alias("level"))
+    held = with_bad(refs.where("ref_field = 'symbols.parent_id'")).where(reason.isNotNull())
+    held = held.select(F.col("holder_id").alias("id"), F.col("missing_id").alias("parent_id")).distinct()
+    records = orphaned_records(links, held)
     held_by = lookup_by(records.select(F.col("id").alias("holder_id"), F.col("level").alias("_held")), "holder_id")
     leads_to = lookup_by(records.select(F.col("id").alias("_target"), F.col("level").alias("_leads")), "_target")
     target = F.when(F.col("ref_field") == "edges.to_id", F.col("missing_id"))
-    near = leads_to(held_by(refs).withColumn("_target", target)).withColumn("level", F.least("_held", "_leads")).where("level is not null")
-    fine = with_bad(near).withColumn("reason", reason).where("reason is null")
-    inherited = fine.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows"), F.min("level").alias("level")).withColumn("reason", F.lit("inherited"))
-    out = ["ref_field", "holder_id", "missing_id", "reason", "period", "n_rows", "level"]
-    return direct.select(out).unionByName(inherited.select(out))
+    full = leads_to(held_by(with_bad(refs)).withColumn("_target", target)).withColumn("reason", reason)
+    level = F.when(F.col("reason").isNotNull(), 0).otherwise(F.least("_held", "_leads"))
+    full = full.withColumn("level", level).where("level is not null").withColumn("reason", F.coalesce("reason", F.lit("inherited")))
+    return full.groupBy("ref_field", "holder_id", "missing_id", "reason", "period").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("level").alias("level")
+    )
+
+
+def orphaned_records(links: DataFrame, held: DataFrame) -> DataFrame:
+    """(id, level): the fixpoint of the cascade down the parent links (id, parent_id).
+
+    Level 1 are the records whose link is in held; a record whose parent is of
+    level n is of level n + 1, unless it is of level 1 itself. The rounds double
+    the links that a record looks up, so they are the logarithm of the depth;
+    only records that are parents take part, the others follow at the end.
+    """
+    links = checkpoint(links)
+    own = checkpoint(links.join(held, ["id", "parent_id"], "left_semi").select("id"))
+    inner = links.join(links.select(F.col("parent_id").alias("id")).distinct(), "id", "left_semi")
+    start = F.when(F.col("_own").isNull(), F.col("parent_id"))
+    inner = inner.join(own.withColumn("_own", F.lit(True)), "id", "left").select("id", start.alias("ptr"), F.when(start.isNull(), 0).otherwise(1).alias("n"))
+    # ptr is null where an orphaned record is reached, after n links; rows whose way ends elsewhere drop out of the join.
+    state, active = checkpoint(inner), -1
+    while (left := state.where("ptr is not null").count()) not in (0, active):
+        active = left
+        step = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("n").alias("_n"))
+        todo = state.where("ptr is not null").join(step, "ptr")
+        state = checkpoint(state.where("ptr is null").unionByName(todo.select("id", F.col("_ptr").alias("ptr"), (F.col("n") + F.col("_n")).alias("n"))))
+    reached = state.where("ptr is null").select("id", (F.col("n") + 1).alias("level"))
+    leaves = links.join(state.select("id"), "id", "left_anti").join(own, "id", "left_anti")
+    leaves = leaves.join(reached.select(F.col("id").alias("parent_id"), "level"), "parent_id").select("id", (F.col("level") + 1).alias("level"))
+    return reached.unionByName(leaves).unionByName(own.join(state.select("id"), "id", "left_anti").withColumn("level", F.lit(1)))
 
 
 def direct_orphans(found: DataFrame) -> DataFrame:

@@ -201,5 +201,20 @@ select coalesce(n.snapshot_no, o.snapshot_no) as snapshot_no,
   coalesce(n.path, o.path) as file_path
 from (select * from filled where before is not null) n full join old o on n.snapshot_no = o.snapshot_no and n.path = o.path
 where o.path is null or n.path is null or n.hash <> o.hash""",
+    "p6_report": f"""{_DIRECT.replace("with first", "with recursive first")}, {_CURRENT.replace("cur as", "now as", 1).split(", link as")[0]},
+own as (select id from now where exists (select 1 from direct where ref_field = 'symbols.parent_id' and holder_id = now.id and direct.missing_id = now.parent_id)),
+down(id, level) as (
+  select id, 1 from own
+  union all
+  select n.id, d.level + 1 from down d join now n on n.parent_id = d.id where n.id not in (select id from own)
+), near as (
+  select r.*, least(h.level, t.level) as level from refs r left join down h on h.id = r.holder_id
+  left join down t on r.ref_field = 'edges.to_id' and t.id = r.missing_id left join first f on f.id = r.missing_id
+  where (h.id is not null or t.id is not null) and f.since <= r.indexed_at
+), every as (
+  select ref_field, holder_id, missing_id, reason, period, count(*) as n_rows, 0 as level from direct group by all
+  union all
+  select ref_field, holder_id, missing_id, 'inherited', strftime(make_timestamp(indexed_at * 1000000), '%Y-%m'), count(*), min(level) from near group by 1, 2, 3, 4, 5
+) select ref_field, period, reason, level, count(*) as n_refs, sum(n_rows)::bigint as n_rows from every group by all""",
     "p6_found": f"{_DIRECT} select distinct ref_field, holder_id, missing_id, reason, period from direct",
 }

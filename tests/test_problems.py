@@ -246,3 +246,19 @@ def test_orphans_direct_and_inherited(spark):
     }
     none = O.orphans(spark.createDataFrame([], SYM), spark.createDataFrame([], EDGE), removed.where("false"))
     assert none.count() == 0
+
+
+def test_cascade_against_brute_force(spark):
+    rnd = random.Random(6)
+    for deep in (2, 40):
+        links = [(f"n{i}", f"n{rnd.randrange(max(i - deep, 0), i) if i % 17 else rnd.randrange(90)}" if i else "gone") for i in range(90)]
+        held = {(i, p) for i, p in links if rnd.random() < 0.08}
+        parent, level = dict(links), {i: 1 for i, _ in held}
+        for i in parent:
+            way = [i]
+            while way[-1] in parent and way[-1] not in {h for h, _ in held} and parent[way[-1]] not in way:
+                way.append(parent[way[-1]])
+            if way[-1] in {h for h, _ in held}:
+                level[i] = len(way)
+        s = "id string, parent_id string"
+        assert dict(O.orphaned_records(spark.createDataFrame(links, s), spark.createDataFrame(sorted(held), s)).collect()) == level
