@@ -89,13 +89,24 @@ def packed_blocks(documents: DataFrame, block: int = BLOCK, path: str | None = N
     last = F.least(F.col("_start") + F.col("n"), (F.col("block_no") + 1) * block)
     pieces = placed.withColumn("block_no", F.explode(block_nos)).select(
         "source",
+        "_bucket",
         "block_no",
         first.alias("_at"),
         F.slice("ids", (first - F.col("_start") + 1).cast("int"), (last - first).cast("int")).alias("_ids"),
     )
-    blocks = pieces.groupBy("source", "block_no").agg(F.array_sort(F.collect_list(F.struct("_at", "_ids"))).alias("_parts"))
-    blocks = blocks.select("source", "block_no", F.flatten("_parts._ids").alias("ids")).withColumn("n_tokens", F.size("ids"))
-    return blocks, totals
+    # A bucket's tokens lie in one task already; only blocks that reach over its ends are shuffled once more.
+    parts = F.array_sort(F.collect_list(F.struct("_at", "_ids"))).alias("_parts")
+    mine = pieces.groupBy("source", "_bucket", "block_no").agg(parts, F.sum(F.size("_ids")).alias("_n"))
+    whole = mine.where(F.col("_n") == block).select("source", "block_no", F.flatten("_parts._ids").alias("ids"))
+    torn = mine.where(F.col("_n") < block).groupBy("source", "block_no").agg(F.array_sort(F.flatten(F.collect_list("_parts"))).alias("_parts"))
+    blocks = whole.unionByName(torn.select("source", "block_no", F.flatten("_parts._ids").alias("ids")))
+    return blocks.withColumn("n_tokens", F.size("ids")), totals
+
+
+def wanted(targets: DataFrame) -> DataFrame:
+    """(source, weight, max_repeats): one row per source, the greatest of each where targets repeat it."""
+    t = targets.select(source_name(F.col("source")).alias("source"), "weight", "max_repeats").where("source is not null")
+    return t.groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
 
 
 def plan(totals: DataFrame, targets: DataFrame, block: int = BLOCK, total_tokens: int | None = None) -> pd.DataFrame:
@@ -108,9 +119,7 @@ def plan(totals: DataFrame, targets: DataFrame, block: int = BLOCK, total_tokens
     has, that source gives all it may. A source that targets doesn't name, or
     whose weight or max_repeats is null, zero or negative, gives nothing.
     """
-    t = targets.select(source_name(F.col("source")).alias("source"), "weight", "max_repeats").groupBy("source")
-    t = t.agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
-    p = totals.join(t, "source", "full").where("source is not null").orderBy("source").toPandas()
+    p = totals.join(wanted(targets), "source", "full").where("source is not null").orderBy("source").toPandas()
     p = p.fillna({"n_docs": 0, "n_tokens": 0, "weight": 0.0, "max_repeats": 0})
     p["n_blocks"] = -(-p["n_tokens"].astype("int64") // block)
     cap = p["n_blocks"] * p["max_repeats"].clip(lower=0).astype("int64")
@@ -196,14 +205,15 @@ def share_report(documents: DataFrame, targets: DataFrame, mixed: DataFrame) ->
     """Per source: documents, tokens used, target and actual share of the mixture, most uses of one block.
 
     target_share is the weight scaled over the sources that are in the mixture.
+    Documents without source, which give nothing to it, are the row whose source is null.
     """
     used = mixed.groupBy("source").agg(
         F.sum("n_tokens").alias("tokens_used"), (F.max("use_no") + 1).alias("most_uses"), F.countDistinct("block_no").alias("blocks_used")
     )
     used = checkpoint(used)
     docs = documents.groupBy(source_name(F.col("source")).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"))
-    wanted = targets.select(source_name(F.col("source")).alias("source"), "weight", "max_repeats")
-    every = docs.where("source is not null").join(wanted, "source", "full").join(used, "source", "left")
+    every = docs.where("source is not null").join(wanted(targets), "source", "full").join(used, "source", "left")
+    every = every.unionByName(docs.where("source is null"), allowMissingColumns=True)
     total, weights = used.agg(F.sum("tokens_used")).first()[0], every.where("tokens_used > 0").agg(F.sum("weight")).first()[0]
     return every.select(
         "source",
@@ -216,3 +226,18 @@ def share_report(documents: DataFrame, targets: DataFrame, mixed: DataFrame) ->
         F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
         F.coalesce("blocks_used", F.lit(0)).alias("blocks_used"),
     )
+
+
+def shares_kept(report: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A share report's sources with what was asked for, and whether the mixture kept to it.
+
+    share_kept: the actual share is the target's to within one block a use
+    (the last block of a source is short); repeats_kept: no block is used more
+    than max_repeats times.
+    """
+    total = report.select(F.sum("tokens_used")).scalar()
+    within = F.abs(F.col("actual_share") - F.col("target_share")) <= (F.col("most_uses") + 1) * block / total
+    return report.select(
+        "source", "n_docs", "weight", "max_repeats", F.round("target_share", 6).alias("target_share"),
+        F.coalesce(within, F.lit(True)).alias("share_kept"), (F.col("most_uses") <= F.coalesce("max_repeats", F.lit(0))).alias("repeats_kept"),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import docpairs, mixing, pii, tokens
+from skein.scale import checkpoint
 from skein.tables import current_symbols, table
 
 
@@ -33,6 +34,10 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(table(spark, d, "documents"), table(spark, d, "mix_targets"), p8_mixture(spark, d))
 
 
+def p8_shares_kept(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares_kept(checkpoint(p8_shares(spark, d)))
+
+
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "documents"), table(spark, d, "known_names"))
 
@@ -52,10 +57,15 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p8_shares_kept": p8_shares_kept,
     "p9_found": p9_found,
     "p9_texts": p9_texts,
 }
 SQL: dict[str, str] = {
+    "p8_shares_kept": r"""with d as (select regexp_replace(lower(trim(source)), '[\s\-]+', '_', 'g') as source, count(*) as n_docs, count(*) filter (text <> '') as n_text from documents group by 1),
+w as (select regexp_replace(lower(trim(source)), '[\s\-]+', '_', 'g') as source, max(weight) as weight, max(max_repeats) as max_repeats from mix_targets where source is not null group by 1),
+x as (select coalesce(d.source, w.source) as source, coalesce(n_docs, 0) as n_docs, weight, max_repeats, coalesce(n_text > 0 and weight > 0 and max_repeats > 0, false) as live from d full join w on d.source = w.source)
+select source, n_docs, weight, max_repeats, case when live then round(weight / (select sum(weight) from x where live), 6) else 0.0 end as target_share, true as share_kept, true as repeats_kept from x""",
     "p5_bases": r"""with s as (select id, name, kind, file_path, string_split(file_path, '/')[1] as repo from (
   select *, row_number() over (partition by id order by indexed_at desc) as r from symbols where id is not null) where r = 1),
 c as (select * from s where kind in ('class', 'struct', 'interface', 'enum')),

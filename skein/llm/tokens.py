@@ -9,6 +9,7 @@ row is in the table.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -24,6 +25,12 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
+#: The same for texts of ASCII letters only, which the standard library splits in half the time.
+_BLANK = r"\t\n\x0b\x0c\r "
+ASCII_PATTERN = (
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^{_BLANK}A-Za-z0-9]+"
+    rf"|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+)
 _NONE = np.int32(2**31 - 1)
 #: Bytes from which on a piece is merged by itself, all occurrences of the best pair a round.
 LONG = 256
@@ -176,10 +183,11 @@ class Encoder:
     def __init__(self, table: dict):
         import regex
 
-        self.table, self.split, self.known = table, regex.compile(PATTERN).findall, {}
+        self.table, self.known = table, {}
+        self.split, self.split_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        words = [self.split(t) for t in texts]
+        words = [self.split_ascii(t) if t.isascii() else self.split(t) for t in texts]
         new = [w for w in set(chain.from_iterable(words)) if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, list(set(chain.from_iterable(words)))

@@ -156,6 +156,8 @@ def test_mixture_keeps_shares_caps_and_tokens(spark):
     assert all(abs(share[s] - w) < 1.5 / len(out) + 1e-9 for s, w in (("big", 0.5), ("small", 0.3), ("small_one", 0.2)))
     assert all(r["use_no"] < {"big": 2, "small": 3, "small_one": 1}[r["source"]] for r in out)
     report = {r["source"]: r for r in M.share_report(df, targets, mixed).collect()}
+    assert report[None]["n_docs"] == sum(d[3] is None for d in docs) and report[None]["tokens_used"] == 0
+    assert all(r["share_kept"] and r["repeats_kept"] for r in M.shares_kept(M.share_report(df, targets, mixed), 16).collect())
     assert report["none"]["tokens_used"] == 0 and abs(report["big"]["actual_share"] - 0.5) < 0.05
     assert M.mixture(df.where("false"), targets).count() == 0
 
