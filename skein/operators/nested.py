@@ -183,10 +183,13 @@ def nested_triples(records: DataFrame, id_col: str = "id", json_col: str = "meta
 
 
 def nodes(triples: DataFrame) -> DataFrame:
-    """One row for each array-element object: id, table, own and parent place, ordinal in its array."""
-    return triples.where((F.col("field") == "") & F.col("parent_path").isNotNull()).select(
-        "id", "node_table", "node_path", "parent_path", "ordinal"
-    )
+    """One row for each array-element object: id, table, own and parent place, ordinal in its array.
+
+    Triples are grouped by their repeated ancestor, as in pivot_table, for all
+    array fields at once. An object has a triple with the empty field.
+    """
+    mine = triples.where((F.col("field") == "") & F.col("parent_path").isNotNull())
+    return mine.groupBy("id", "node_table", "node_path").agg(F.max("parent_path").alias("parent_path"), F.max("ordinal").alias("ordinal"))
 
 
 def _is_element() -> Column:

@@ -157,7 +157,56 @@ refs as (
   where f.id is null or f.since > indexed_at
 )"""
 
+_ARRAYS = "(" + ", ".join(f"'{f}'" for f in sorted(N.ARRAY_FIELDS)) + ")"
+#: Every value of the records' JSON (walk) and, of those, the triples.
+_TRIPLES = f"""with recursive cur as (
+  select id, metadata from (select *, row_number() over (partition by id order by indexed_at desc) as r from symbols where id is not null) where r = 1
+), walk(id, path, key, element, tab, node, below, v) as (
+  select id, '', '', false, '', '', '', case when json_valid(metadata) then metadata::json end from cur
+  union all
+  select w.id, x.path, x.key, x.element, x.tab, x.node, x.below, x.v from (
+    select *, json_type(v) as t, element or key in {_ARRAYS} as row_, case when element or key not in {_ARRAYS} then path else path || '[0]' end as p,
+      case when json_type(v) = 'VARCHAR' then v ->> '$' end as s from walk) w, lateral (
+    select w.path, w.key as key, w.element as element, w.tab as tab, w.node as node, w.below as below, s::json as v
+    where t = 'VARCHAR' and ltrim(s, E' \\t\\n\\r')[1] in ('{{', '[', '"') and json_valid(s)
+    union all
+    select case when w.p = '' then e.key else w.p || '.' || e.key end, e.key, false, case when row_ then w.key else w.tab end,
+      case when row_ then w.p else w.node end, case when row_ or w.below = '' then e.key else w.below || '.' || e.key end, e.value
+    from json_each(v) e where t = 'OBJECT'
+    union all
+    select w.path || '[' || e.key || ']', w.key, true, w.tab, w.node, w.below || '[' || e.key || ']', e.value from json_each(v) e where t = 'ARRAY'
+  ) x
+), ends as (
+  select *, element or key in {_ARRAYS} as row_, v ->> '$' as s from walk where json_type(v) <> 'ARRAY'
+), rows_ as (
+  select id, key as node_table, case when element then path else path || '[0]' end as node_path, node as parent_path, '' as field, null::varchar as value
+  from ends where json_type(v) = 'OBJECT' and row_
+  union all
+  select id, case when element then key else tab end, case when element then path else node end, case when element then node end, case when element then '[]' else below end,
+    case when json_type(v) <> 'NULL' then s end
+  from ends where json_type(v) <> 'OBJECT' and not (json_type(v) = 'VARCHAR' and ltrim(s, E' \\t\\n\\r')[1] in ('{{', '[', '"') and json_valid(s))
+), triples as (
+  select id, node_table, node_path, parent_path, coalesce(nullif(regexp_extract(node_path, '\\[([0-9]+)\\]$', 1), '')::int, 0) as ordinal, field, value from rows_
+)"""
+
+
+def _pivot_sql(tables: list[str], fields: list[str]) -> str:
+    columns = ", ".join(f"max(case when field = '{f}' and not e then value end) as \"{f.replace('.', '_')}\"" for f in fields)
+    mine, wanted = ", ".join(f"'{t}'" for t in tables), ", ".join(f"'{f}'" for f in ["", *fields])
+    return f"""{_TRIPLES} select id, node_path, max(parent_path) as parent_path, max(ordinal) as ordinal, {columns}, max(case when e then value end) as element
+from (select *, field = '[]' and parent_path is not null as e from triples) where node_table in ({mine}) and (field in ({wanted}) or e) group by id, node_path"""
+
+
+_PIVOTED_ROWS = " or ".join(
+    f"node_table in ({', '.join(repr(t) for t in tables)}) and (field in ({', '.join(repr(f) for f in ['', *fields])}) or field = '[]' and parent_path is not null)"
+    for tables, fields in PIVOTED.values()
+)
+
 SQL = {
+    "p2_found": f"{_TRIPLES} select id, node_path, parent_path from triples where field = '' and parent_path is not null",
+    **{name: _pivot_sql(*spec) for name, spec in PIVOTED.items()},
+    "p2_record": f"{_TRIPLES} select id, field, value from triples where node_path = ''",
+    "p2_remaining": f"{_TRIPLES} select * from triples where node_path <> '' and not ({_PIVOTED_ROWS})",
     "p1_found": """select to_id, kind from edges group by to_id, kind
 having count(*) > 0.01 * (select count(*) from edges)""",
     "p1_summary": """select to_id, kind, count(*) as n_rows, count(distinct from_id) as n_distinct,
