@@ -8,7 +8,18 @@ from pyspark.sql import functions as F
 #: Languages by file extension.
 LANGUAGES = {"ts": "typescript", "tsx": "typescript", "cs": "csharp", "py": "python", "go": "go", "java": "java", "rs": "rust"}
 #: Folders of other people's code.
-VENDOR = ("node_modules", "vendor", "target", "dist", "build", "bin", "obj", "third_party")
+VENDOR = ("node_modules", "vendor", "target", ".cargo", "venv", "site-packages", ".m2", "third_party")
+#: Names too general to make a symbol important or a query specific, by language.
+STOPWORDS = {
+    "typescript": ("constructor", "toString", "valueOf", "render", "default"),
+    "csharp": ("ToString", "GetHashCode", "Equals", "Dispose", "GetType", "Main"),
+    "python": ("__init__", "__str__", "__repr__", "__eq__", "__hash__", "__len__", "__iter__", "__next__"),
+    "rust": ("new", "default", "from", "into", "run", "build", "try_from", "fmt", "clone", "drop"),
+    "go": ("String", "Error", "Close", "Read", "Write", "New", "Init", "Run"),
+    "java": ("toString", "hashCode", "equals", "get", "set", "of", "main", "run", "close"),
+}
+#: What the steps of an impact are called, from the first on; further ones share the last name.
+IMPACT_LABELS = ("Direct callers", "Second-degree", "Third-degree", "Further impact")
 #: What an edge kind is called in reports.
 KIND_WORDS = {
     "calls": "called", "imports": "imported", "extends": "extended", "implements": "implemented",
@@ -126,3 +137,45 @@ def relative_time(seconds: Column) -> Column:
         .when(seconds < 86400, unit(3600, "h"))
         .otherwise(unit(86400, "d"))
     )
+
+
+def is_general_name(name: Column, language: Column) -> Column:
+    """True if a name is a stopword of its language; case counts."""
+    return F.coalesce(F.array_contains(F.create_map(*[x for k, v in STOPWORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[language], name), F.lit(False))
+
+
+def impact_label(depth: Column) -> Column:
+    return F.try_element_at(F.array(*map(F.lit, IMPACT_LABELS)), F.least(depth.cast("int"), F.lit(len(IMPACT_LABELS))))
+
+
+def parent_in_id(id_: Column) -> Column:
+    """Second part of an id from the end, as short ids without kind and line name their parent; null where there is none."""
+    parts = F.split(id_, "::")
+    return F.when(F.size(parts) >= 2, F.element_at(parts, -2))
+
+
+def looks_like_path(text: Column) -> Column:
+    """True for what is rather a file than a symbol: it has a separator or ends like a source file."""
+    return text.contains("/") | text.contains("\\") | text.rlike(r"\.(?:ts|tsx|js|jsx|cs|py|go|java|rs)$")
+
+
+def enrichment(language: Column, metadata: Column) -> Column:
+    """What a signature is shown with: '@name's of Java annotations and Python decorators, Go's receiver; else ''."""
+    v = F.try_parse_json(metadata)
+    is_text = lambda x: F.schema_of_variant(x) == "STRING"
+    text = lambda x: F.try_variant_get(x, "$", "string")
+
+    def marks(field: str) -> Column:
+        named = F.filter(F.try_variant_get(v, f"$.{field}", "array<variant>"), lambda a: is_text(a) & (text(a) != ""))
+        return F.array_join(F.transform(named, lambda a: F.concat(F.lit("@"), text(a))), " ")
+
+    got = F.try_variant_get(v, "$.receiver", "variant")
+    receiver = F.when(is_text(got), text(got))
+    star = F.when(F.try_variant_get(v, "$.is_pointer_receiver", "boolean"), "*").otherwise("")
+    go = F.when(receiver != "", F.concat(F.lit("("), F.lower(F.substring(receiver, 1, 1)), F.lit(" "), star, receiver, F.lit(")")))
+    return F.coalesce(F.when(language == "java", marks("annotations")).when(language == "python", marks("decorators")).when(language == "go", go), F.lit(""))
+
+
+def inferred_access(name: Column) -> Column:
+    """Access of a Python name: '__x' without a dunder end is name_mangled, '_x' private, else public."""
+    return F.when(name.startswith("__") & ~name.endswith("__"), "name_mangled").when(name.startswith("_"), "private").otherwise("public")

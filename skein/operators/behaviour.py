@@ -41,12 +41,21 @@ def followed_within(actions: DataFrame, first: Column, then: Column, rows: int =
 
 
 def followed_until(actions: DataFrame, first: Column, then: Column, barrier: Column) -> DataFrame:
-    """(run, n_followed): rows `first` after which the run has a `then` ahead of its next `barrier`."""
-    ahead = Window.partitionBy("run").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    next_then = F.min(F.when(then, F.col("seq"))).over(ahead)
-    next_stop = F.min(F.when(barrier, F.col("seq"))).over(ahead)
-    hit = first & next_then.isNotNull() & (next_stop.isNull() | (next_then < next_stop))
-    return actions.select("run", hit.alias("_f")).groupBy("run").agg(F.count(F.when(F.col("_f"), 1)).alias("n_followed"))
+    """(run, n_followed): rows `first` after which the run has, ahead of its next `barrier`, a `then` about the same thing.
+
+    That is one whose argument is the argument of the first or a word of it
+    (between blanks). A run is cut at its barriers; within such a stretch every
+    word of a first meets the last `then` of that argument, so no pairs are made.
+    """
+    before = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    cut = actions.select("run", "seq", "argument", first.alias("_f"), then.alias("_t"), barrier.alias("_b"))
+    cut = cut.withColumn("_part", F.coalesce(F.sum(F.col("_b").cast("int")).over(before), F.lit(0)))
+    last = cut.where("_t and not _b").groupBy("run", "_part", F.col("argument").alias("_word")).agg(F.max("seq").alias("_last"))
+    words = F.array_distinct(F.concat(F.array("argument"), F.split("argument", r"\s+")))
+    asked = cut.where("_f and argument is not null and not _b").select("run", "_part", "seq", F.explode(words).alias("_word"))
+    hits = asked.join(last, ["run", "_part", "_word"]).where(F.col("_last") > F.col("seq")).select("run", "seq").distinct()
+    n = hits.groupBy("run").agg(F.count(F.lit(1)).alias("n_followed"))
+    return actions.select("run").distinct().join(n, "run", "left").select("run", F.coalesce("n_followed", F.lit(0)).alias("n_followed"))
 
 
 def same_argument(actions: DataFrame, one: str, other: str) -> DataFrame:
@@ -75,6 +84,43 @@ def condition_report(summary: DataFrame, condition: Column) -> DataFrame:
     )
 
 
+def outcome_report(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Runs (passed, score, size, ...) by the columns `by`: number, percent passed, mean and sample deviation of score, mean size and its reduction in percent against the greatest mean."""
+    out = runs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_runs"),
+        F.round(F.avg(F.col("passed").cast("double")) * 100, 6).alias("pct_passed"),
+        F.round(F.avg("score"), 6).alias("mean_score"),
+        F.round(F.coalesce(F.stddev_samp("score"), F.lit(0.0)), 6).alias("sd_score"),
+        F.avg("size").alias("_size"),
+    )
+    top = out.select(F.max("_size")).scalar()
+    cut = F.round((1 - F.col("_size") / top) * 100, 6).alias("pct_smaller")
+    return out.select(*by, "n_runs", "pct_passed", "mean_score", "sd_score", F.round("_size", 6).alias("mean_size"), cut)
+
+
+def score(compiles: Column, passes: Column, coverage: Column, threshold: float = 0.8) -> Column:
+    """0 to 100: 40 each for compiling and passing and 20 by coverage, scaled below the threshold; 50 each where coverage is null."""
+    share = F.when(coverage >= threshold, 20).otherwise(F.floor(coverage / threshold * 20)).cast("int")
+    each = lambda n: F.when(compiles, n).otherwise(0) + F.when(passes, n).otherwise(0)
+    return F.when(coverage.isNull(), each(50)).otherwise(each(40) + share)
+
+
+def recommendations(report: DataFrame, patterns: DataFrame, limit: float = 5.0) -> DataFrame:
+    """(condition, advice): rules over a condition report joined with pattern sums (condition, n_followed, n_within).
+
+    'followed' where looking at what was just reported occurs, 'searched' where
+    searching again does, 'many actions' over `limit` actions a run, 'late
+    edits' where a condition edits later than condition 0 does.
+    """
+    base = report.where("condition = 0").select(F.max("mean_before_edit")).scalar()
+    full = report.join(patterns, "condition", "left")
+    rules = {
+        "followed": F.col("n_followed") > 0, "searched": F.col("n_within") > 0, "many actions": F.col("mean_actions") > limit,
+        "late edits": F.col("mean_before_edit") > base,
+    }
+    return full.select("condition", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))).alias("advice"))
+
+
 def near_lines(points: DataFrame, changed: DataFrame, reach: int = 5) -> DataFrame:
     """points (file_path, line, ...) with covered: whether a changed line (file_path, line) is within `reach` lines.
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.scale import checkpoint, left_join_skewed
 from skein.tables import CLASS_LIKE, current_edges, current_symbols, table
 
 SYMBOL = ["id", "name", "kind", "file_path", "line_start", "line_end", "signature", "docstring", "parent_id", "language", "metadata"]
@@ -174,11 +175,15 @@ def importance(graph: CodeGraph) -> DataFrame:
     return n.select("to_id", (F.col("n") / n.select(F.max("n")).scalar()).alias("score"))
 
 
-def incoming_callers(graph: CodeGraph) -> DataFrame:
-    """(name, from_id, n_edges, display_name): who calls each symbol name, by the spelling match of counts."""
+def callers_by_key(graph: CodeGraph) -> DataFrame:
+    """(name, from_id, n_edges): calls of each name or id, by the spelling match of counts."""
     keyed = graph.calls.select("from_id", F.explode(F.array_compact(F.array("to_id", X.member_tail(F.col("to_id"))))).alias("name"))
-    mine = keyed.join(graph.symbols.select("name").distinct(), "name", "left_semi")
-    return caller_names(graph, mine.groupBy("name", "from_id").agg(F.count(F.lit(1)).alias("n_edges")))
+    return keyed.groupBy("name", "from_id").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+def incoming_callers(graph: CodeGraph) -> DataFrame:
+    """(name, from_id, n_edges, display_name): who calls each symbol name."""
+    return caller_names(graph, callers_by_key(graph).join(graph.symbols.select("name").distinct(), "name", "left_semi"))
 
 
 def outgoing_calls(graph: CodeGraph) -> DataFrame:
@@ -187,11 +192,23 @@ def outgoing_calls(graph: CodeGraph) -> DataFrame:
     return named.select("from_id", F.col("to_id_name").alias("to_name")).distinct()
 
 
-def name_lists(graph: CodeGraph, limit: int = 10) -> DataFrame:
-    """(from_id, callees): the first `limit` names that each caller calls, as one text."""
-    return outgoing_calls(graph).groupBy("from_id").agg(
-        F.array_join(F.slice(F.array_sort(F.collect_set("to_name")), 1, limit), ", ").alias("callees")
-    )
+def _first_names(named: DataFrame, key: str, as_: str, limit: int) -> DataFrame:
+    """(key, as_): the first `limit` distinct names of each key as one text; no more than those are ever brought together."""
+    w = Window.partitionBy(key).orderBy("name")
+    some = named.select(key, "name").distinct().withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit)
+    return some.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias(as_))
+
+
+def callees_of(graph: CodeGraph, limit: int = 10) -> DataFrame:
+    """(from_id, callees): names of the symbols that each caller calls by id, at most `limit`, as one text."""
+    calls = graph.calls.select("from_id", F.col("to_id").alias("id"))
+    return _first_names(calls.join(graph.names, "id"), "from_id", "callees", limit)
+
+
+def callers_of(graph: CodeGraph, limit: int = 10) -> DataFrame:
+    """(to_id, callers): names of the symbols that call each spelling, at most `limit`, as one text."""
+    calls = graph.calls.select("to_id", F.col("from_id").alias("id"))
+    return _first_names(calls.join(graph.names, "id"), "to_id", "callers", limit)
 
 
 def fan_out(graph: CodeGraph) -> DataFrame:
@@ -239,14 +256,41 @@ def refs(graph: CodeGraph, ids: DataFrame, kinds: list[str] | None = None) -> Da
     return names_of_ids(graph, hits, "from_id").withColumnRenamed("from_id_name", "from_name")
 
 
-def top_refs(found: DataFrame, limit: int = 20) -> DataFrame:
-    """The first `limit` references by kind, file and line, grouped by kind with their order, beside the untruncated total."""
+def first_refs(found: DataFrame, target: str = "target", limit: int = 20) -> DataFrame:
+    """The first `limit` references to each target by kind, file and line, with place and the untruncated total."""
     order = ["kind", "file_path", "line", "from_id", "to_id"]
-    first = found.orderBy(*order).limit(limit)
-    rows = F.array_sort(F.collect_list(F.struct("file_path", "line", "from_name", "to_id")))
-    grouped = first.groupBy("kind").agg(F.count(F.lit(1)).alias("shown"), rows.alias("refs"))
-    totals = found.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
-    return grouped.join(totals, "kind").withColumn("how", X.kind_words(F.col("kind")))
+    totals = found.groupBy(target).agg(F.count(F.lit(1)).alias("total"))
+    placed = found.withColumn("place", F.row_number().over(Window.partitionBy(target).orderBy(*order)))
+    return placed.where(F.col("place") <= limit).join(totals, target)
+
+
+def top_refs(found: DataFrame, limit: int = 20) -> DataFrame:
+    """first_refs of each target grouped by kind, in order, beside the shown and the untruncated number of the kind."""
+    rows = F.array_sort(F.collect_list(F.struct("place", "file_path", "line", "from_name", "to_id")))
+    grouped = first_refs(found, limit=limit).groupBy("target", "kind").agg(F.count(F.lit(1)).alias("shown"), rows.alias("refs"))
+    totals = found.groupBy("target", "kind").agg(F.count(F.lit(1)).alias("total"))
+    return grouped.join(totals, ["target", "kind"]).withColumn("how", X.kind_words(F.col("kind")))
+
+
+def callers(graph: CodeGraph, ids: DataFrame) -> DataFrame:
+    """References of kind calls to the symbols `ids`; deeper callers are those of traversal.impact."""
+    return refs(graph, ids, ["calls"])
+
+
+def file_refs(graph: CodeGraph, kinds: list[str] | None = None) -> DataFrame:
+    """(target, from_id, to_id, kind, file_path, line): every reference to a symbol of each file (target), one row an edge and file."""
+    edges = graph.keyed_edges()
+    if kinds:
+        edges = edges.where(F.col("kind").isin(*kinds))
+    keys = graph.symbols.select(F.col("file_path").alias("target"), F.explode(F.array("id", "name")).alias("key")).distinct()
+    return edges.join(keys, "key").drop("key").dropDuplicates(["target", "from_id", "to_id", "kind"])
+
+
+def file_deps(graph: CodeGraph) -> DataFrame:
+    """Direct dependencies of each file (target): those of all its symbols and of its own code, as deps()."""
+    mine = graph.symbols.select(F.col("file_path").alias("target"), F.col("id").alias("from_id"))
+    own = mine.select("target", F.concat("target", F.lit("::__module__::function")).alias("from_id"))
+    return _direct(graph, mine.unionByName(own).distinct())
 
 
 def refs_by_name(graph: CodeGraph) -> DataFrame:
@@ -272,25 +316,30 @@ def resolved(graph: CodeGraph, deps: DataFrame) -> DataFrame:
     Of several that have the same name and kind the one of the least depth,
     then the smallest to_id, remains.
     """
+    # A spelling is resolved once, however many dependencies have it; the table of distinct spellings has no hot key.
     by_id = graph.symbols.select(F.col("id").alias("to_id"), F.col("name").alias("_name"), F.col("file_path").alias("_file"))
     by_name = find_symbols(graph).select(F.col("name").alias("to_id"), F.col("file_path").alias("_any"))
-    full = deps.join(by_id, "to_id", "left").join(by_name, "to_id", "left")
-    name = F.coalesce("_name", X.name_in_id(F.col("to_id")))
-    path = F.coalesce("_file", "_any")
-    full = full.select("target", "kind", name.alias("name"), F.struct("depth", "to_id", path.alias("file_path")).alias("_d"))
+    known = deps.select("to_id").distinct().join(by_id, "to_id", "left").join(by_name, "to_id", "left")
+    known = known.select("to_id", F.coalesce("_name", X.name_in_id(F.col("to_id"))).alias("name"), F.coalesce("_file", "_any").alias("file_path"))
+    full = left_join_skewed(checkpoint(deps), known, "to_id")
+    full = full.select("target", "kind", "name", F.struct("depth", "to_id", "file_path").alias("_d"))
     return full.groupBy("target", "name", "kind").agg(F.min("_d").alias("_d")).select(
         "target", "name", "kind", F.col("_d.depth").alias("depth"), F.col("_d.file_path").alias("file_path"), F.col("_d.file_path").isNull().alias("is_external")
     )
 
 
-def deps(graph: CodeGraph, ids: DataFrame) -> DataFrame:
-    """Direct dependencies of the symbols `ids`: target, name, kind, depth, file_path, is_external."""
-    src = sources_of(graph, ids)
+def _direct(graph: CodeGraph, src: DataFrame) -> DataFrame:
+    """Direct dependencies of targets by their sources (target, from_id), without what is a source itself."""
     direct = graph.edges.join(src, "from_id").select("target", "to_id", "kind").distinct().withColumn("depth", F.lit(1))
     own = src.select("target", F.col("from_id").alias("to_id"))
     return resolved(graph, direct.join(own, ["target", "to_id"], "left_anti"))
 
 
+def deps(graph: CodeGraph, ids: DataFrame) -> DataFrame:
+    """Direct dependencies of the symbols `ids`: target, name, kind, depth, file_path, is_external."""
+    return _direct(graph, sources_of(graph, ids))
+
+
 def implementors(graph: CodeGraph) -> DataFrame:
     """(interface_id, from_id): implements edges that name a symbol by its id."""
     ids = graph.symbols.select(F.col("id").alias("to_id"))

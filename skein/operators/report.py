@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.operators import graph as G
+from skein.operators import traversal as T
 from skein.operators.graph import CodeGraph
+from skein.tables import CLASS_LIKE
 
 
 def class_sketches(graph: CodeGraph) -> DataFrame:
@@ -18,15 +20,53 @@ def class_sketches(graph: CodeGraph) -> DataFrame:
     return counted.select("class_id", "class_name", "kind", "id", "name", "signature", "line_start", F.coalesce("n_callers", F.lit(0)).alias("n_callers"))
 
 
+def sketches(graph: CodeGraph) -> DataFrame:
+    """(id, section, item, n): what the sketch of each symbol says, by its kind.
+
+    Classes and structs: member (id, its callers) and what they extend,
+    implement and depend on; functions and methods: calls (names) and
+    called_by (display names, edges); interfaces: member and implementor (id);
+    enums: variant (id) and callers (their number). n is null where nothing is counted.
+    """
+    part = lambda df, id_, section, item, n=None: df.select(
+        F.col(id_).alias("id"), section.alias("section"), F.col(item).alias("item"), (F.col(n) if n else F.lit(None)).cast("long").alias("n")
+    )
+    kinds = graph.symbols.select("id", "name", "kind")
+    counts = G.caller_counts(graph)
+    members = class_sketches(graph).join(kinds.select(F.col("id").alias("class_id"), F.col("kind").alias("_of")), "class_id")
+    inside = part(members.where("_of <> 'enum'"), "class_id", F.lit("member"), "id", "n_callers")
+    variants = part(members.where("_of = 'enum' and kind = 'variant'"), "class_id", F.lit("variant"), "id")
+    classy = kinds.where("kind in ('class', 'struct')").select(F.col("id").alias("class_id"))
+    related = part(G.class_relationships(graph).join(classy, "class_id", "left_semi"), "class_id", F.col("relation"), "name")
+    code = kinds.where(F.col("kind").isin(*G.CALLABLE))
+    calls = G.outgoing_calls(graph).join(code.select(F.col("id").alias("from_id")), "from_id", "left_semi")
+    keys = code.select("id", F.explode(F.array_distinct(F.array("id", "name"))).alias("name"))
+    by = G.callers_by_key(graph).join(keys, "name").groupBy("id", "from_id").agg(F.sum("n_edges").alias("n_edges"))
+    by = G.caller_names(graph, by).groupBy("id", "display_name").agg(F.sum("n_edges").alias("n_edges"))
+    done_by = G.implementors(graph).join(kinds.where("kind = 'interface'").select(F.col("id").alias("interface_id")), "interface_id", "left_semi")
+    enums = kinds.where("kind = 'enum'").join(counts, "id", "left").select("id", F.lit("callers").alias("item"), F.coalesce("n_callers", F.lit(0)).alias("n"))
+    return (
+        inside.unionByName(variants).unionByName(related)
+        .unionByName(part(calls, "from_id", F.lit("calls"), "to_name"))
+        .unionByName(part(by, "id", F.lit("called_by"), "display_name", "n_edges"))
+        .unionByName(part(done_by, "interface_id", F.lit("implementor"), "from_id"))
+        .unionByName(part(enums, "id", F.lit("callers"), "item", "n"))
+    )
+
+
 def symbol_summaries(graph: CodeGraph) -> DataFrame:
-    """(id, n_callers, n_calls, n_methods, n_fields) of every symbol."""
+    """(id, n_callers, n_deps, n_methods, n_fields) of every symbol; n_deps are a class's dependencies, else the distinct names called."""
     prop = F.col("kind") == "property"
     members = graph.symbols.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(
         F.count(F.when(~prop, 1)).alias("n_methods"), F.count(F.when(prop, 1)).alias("n_fields")
     )
-    calls = G.fan_out(graph).withColumnRenamed("from_id", "id")
-    full = graph.symbols.select("id").join(G.caller_counts(graph), "id", "left").join(members, "id", "left").join(calls, "id", "left")
-    return full.select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_callers", "n_calls", "n_methods", "n_fields")])
+    kinds = graph.symbols.select("id", "kind")
+    classy = kinds.where(F.col("kind").isin(*CLASS_LIKE)).select("id")
+    of_class = G.deps(graph, classy).groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("_deps"))
+    calls = G.outgoing_calls(graph).groupBy(F.col("from_id").alias("id")).agg(F.count(F.lit(1)).alias("_calls"))
+    full = kinds.join(G.caller_counts(graph), "id", "left").join(members, "id", "left").join(calls, "id", "left").join(of_class, "id", "left")
+    full = full.withColumn("n_deps", F.when(F.col("kind").isin(*CLASS_LIKE), F.col("_deps")).otherwise(F.col("_calls")))
+    return full.select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_callers", "n_deps", "n_methods", "n_fields")])
 
 
 def file_summaries(graph: CodeGraph) -> DataFrame:
@@ -38,24 +78,26 @@ def file_summaries(graph: CodeGraph) -> DataFrame:
 
 
 def overview(graph: CodeGraph, limit: int = 10) -> DataFrame:
-    """(section, item, n): totals, languages, directories and the most-called symbols, as one table."""
+    """(section, item, n): totals, languages, directories, the most-called symbols and the entrypoints of each group, as one table."""
     part = lambda df, section, item, n: df.select(F.lit(section).alias("section"), F.col(item).alias("item"), F.col(n).alias("n"))
     sums = G.totals(graph).select(
         F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n_{k}").alias("n")) for k in ("symbols", "files", "edges")])).alias("t")
     ).select(F.col("t.k").alias("k"), F.col("t.n").alias("n"))
     return (
         part(G.core_symbols(graph, limit), "core", "id", "n_callers")
+        .unionByName(part(T.entrypoints(graph).groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "entrypoints", "grp", "n"))
         .unionByName(part(G.directories(graph), "directory", "directory", "n_symbols"))
         .unionByName(part(G.language_stats(graph), "language", "language", "n_symbols"))
         .unionByName(part(sums, "total", "k", "n"))
     )
 
 
-def status(graph: CodeGraph, hashes: DataFrame) -> DataFrame:
-    """One row: totals, time of the last indexing, state."""
+def status(graph: CodeGraph, hashes: DataFrame, now: Column | None = None) -> DataFrame:
+    """One row: totals, time of the last indexing, how long that is ago (now is in epoch seconds, else the clock's), state."""
     last = hashes.select(F.max("indexed_at")).scalar()
+    now = F.unix_timestamp() if now is None else now
     state = F.when(F.col("n_symbols") == 0, "empty").otherwise("up to date")
-    return G.totals(graph).select("*", last.alias("last_indexed_at"), state.alias("state"))
+    return G.totals(graph).select("*", last.alias("last_indexed_at"), X.relative_time(now - last).alias("age"), state.alias("state"))
 
 
 def changed_symbols(graph: CodeGraph, files: DataFrame) -> DataFrame:
@@ -64,11 +106,16 @@ def changed_symbols(graph: CodeGraph, files: DataFrame) -> DataFrame:
     return graph.symbols.join(files, "file_path").select(columns)
 
 
-def file_lines(documents: DataFrame) -> DataFrame:
-    """(file_path, lines): the latest text of each path, as an array of lines; line ends of any kind."""
+def latest_texts(documents: DataFrame) -> DataFrame:
+    """(file_path, text): the latest text of each path."""
     row = F.struct("created_at", "doc_id", "text")
     latest = documents.where("path is not null and text is not null").groupBy(F.col("path").alias("file_path")).agg(F.max(row).alias("_r"))
-    return latest.select("file_path", F.split(F.col("_r.text"), "\r\n|\n|\r").alias("lines"))
+    return latest.select("file_path", F.col("_r.text").alias("text"))
+
+
+def file_lines(documents: DataFrame) -> DataFrame:
+    """(file_path, lines): the latest text of each path, as an array of lines; line ends of any kind."""
+    return latest_texts(documents).select("file_path", F.split("text", "\r\n|\n|\r").alias("lines"))
 
 
 def sources(graph: CodeGraph, documents: DataFrame) -> DataFrame:
@@ -92,6 +139,11 @@ def snippets(graph: CodeGraph, documents: DataFrame, around: int = 1) -> DataFra
     )
 
 
-def json_rows(command: str, rows: DataFrame) -> DataFrame:
-    """Each row as the JSON that a report file holds: the command and the row's data."""
-    return rows.select(F.to_json(F.struct(F.lit(command).alias("command"), F.struct(*rows.columns).alias("data"))).alias("value"))
+def json_rows(command: str, rows: DataFrame, symbol: str | None = None, total: Column | None = None, truncated: Column | None = None) -> DataFrame:
+    """Each row as the JSON envelope of a report: command, symbol (a column), data (the other columns), truncated, total."""
+    data = F.struct(*[c for c in rows.columns if c != symbol])
+    envelope = F.struct(
+        F.lit(command).alias("command"), (F.col(symbol) if symbol else F.lit(None).cast("string")).alias("symbol"), data.alias("data"),
+        (F.lit(False) if truncated is None else truncated).alias("truncated"), (F.lit(1) if total is None else total).cast("long").alias("total"),
+    )
+    return rows.select(F.to_json(envelope).alias("value"))

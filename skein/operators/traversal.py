@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
@@ -17,7 +17,7 @@ def transitive_deps(graph: CodeGraph, ids: DataFrame, depth: int = 3) -> DataFra
     gone on from again, which leaves the least depths as they are and keeps
     cycles finite.
     """
-    out = graph.edges.select("from_id", "to_id", "kind")
+    out = checkpoint(graph.edges.select("from_id", "to_id", "kind"))  # read in every step; deliveries are reduced once
     src = checkpoint(sources_of(graph, ids))
     found = checkpoint(out.join(src, "from_id").select("target", "to_id", "kind").distinct().withColumn("depth", F.lit(1)))
     frontier = found.select("target", F.col("to_id").alias("from_id")).distinct()
@@ -34,14 +34,21 @@ def transitive_deps(graph: CodeGraph, ids: DataFrame, depth: int = 3) -> DataFra
     return resolved(graph, least.join(own, ["target", "to_id"], "left_anti"))
 
 
+def narrow(graph: CodeGraph) -> CodeGraph:
+    """The graph with what traversals need of it, written once: they read it in every step."""
+    symbols = checkpoint(graph.symbols.select("id", "name", "kind", "file_path", "line_start", "parent_id"))
+    return CodeGraph(symbols, checkpoint(graph.edges.select("from_id", "to_id", "kind")))
+
+
 def impact(graph: CodeGraph, ids: DataFrame, depth: int = 3) -> DataFrame:
-    """(target, id, name, file_path, kind, depth, is_test): symbols that a change of the targets may reach.
+    """(target, id, name, file_path, kind, depth, is_test, label): symbols that a change of the targets may reach.
 
     The first level matches any spelling of the target (and of a class's
     members), further levels exact ids; edges of every kind count, code outside
     of symbols doesn't. A symbol has its least depth; the targets themselves
     and their members are left out at the end only.
     """
+    graph = narrow(graph)
     seeds = checkpoint(match_names(graph, ids))
     known = graph.symbols.select(F.col("id").alias("from_id"))
     first = graph.keyed_edges().join(seeds, "key").join(known, "from_id", "left_semi")
@@ -56,19 +63,8 @@ def impact(graph: CodeGraph, ids: DataFrame, depth: int = 3) -> DataFrame:
         found, frontier = found.unionByName(new), new.select("target", "id")
     own = seeds.select("target", F.col("key").alias("id"))
     facts = graph.symbols.select("id", "name", "file_path", "kind")
-    return found.join(own, ["target", "id"], "left_anti").join(facts, "id").withColumn("is_test", X.is_test_file(F.col("file_path")))
-
-
-def _extended(paths: DataFrame, links: DataFrame, depth: int) -> list[DataFrame]:
-    """Simple paths of 1, 2, ... depth links, from paths (start, node, path) along links (node, next)."""
-    levels, level = [], paths
-    for _ in range(depth):
-        longer = level.join(links, "node").where(~F.array_contains("path", F.col("next")))
-        level = checkpoint(longer.select("start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path")))
-        if not level.limit(1).count():
-            break
-        levels.append(level)
-    return levels
+    full = found.join(own, ["target", "id"], "left_anti").join(facts, "id")
+    return full.withColumns({"is_test": X.is_test_file(F.col("file_path")), "label": X.impact_label(F.col("depth"))})
 
 
 def _reach(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:
@@ -82,25 +78,39 @@ def _reach(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def flow(graph: CodeGraph, starts: DataFrame, ends: DataFrame, depth: int = 6) -> DataFrame:
-    """(start, end, n_steps, path): simple call paths from the symbols `starts` to the symbols `ends` (id), over exact ids.
+def flow(graph: CodeGraph, starts: DataFrame, ends: DataFrame, depth: int = 10, limit: int | None = 5) -> DataFrame:
+    """(start, end, n_steps, path): for every two symbols of `starts` and `ends` (id) the first `limit` simple call paths, over exact ids.
 
-    Only nodes that lie on some walk from a start to an end are looked at, which
-    leaves the paths as they are. path is the array of ids.
+    Paths are of at most `depth` calls and come by length, then by their ids
+    (path is the array of them). They are made longer step by step, along nodes
+    from which an end can still be reached; a start whose ends all have their
+    paths goes on no further. Without a limit every simple path is made.
     """
-    links = graph.calls.select(F.col("from_id").alias("node"), F.col("to_id").alias("next")).where("node <> next")
+    links = checkpoint(graph.calls.select(F.col("from_id").alias("node"), F.col("to_id").alias("next")).where("node <> next").distinct())
     back = links.select(F.col("next").alias("node"), F.col("node").alias("next"))
-    ahead = _reach(starts.select(F.col("id").alias("node")), links, depth)
-    behind = _reach(ends.select(F.col("id").alias("node")), back, depth)
-    on = checkpoint(ahead.join(behind, "node", "left_semi"))
-    links = checkpoint(links.join(on, "node", "left_semi").join(on.select(F.col("node").alias("next")), "next", "left_semi").select("node", "next"))
-    first = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path"))
-    out = None
-    for n, level in enumerate(_extended(first.join(on, "node", "left_semi").select("start", "node", "path"), links, depth), 1):
-        out = level.withColumn("n_steps", F.lit(n)) if out is None else out.unionByName(level.withColumn("n_steps", F.lit(n)))
-    if out is None:
-        out = first.withColumn("n_steps", F.lit(0)).where("false")
-    return out.join(ends.select(F.col("id").alias("node")), "node", "left_semi").select("start", F.col("node").alias("end"), "n_steps", "path")
+    on = checkpoint(_reach(ends.select(F.col("id").alias("node")), back, depth))
+    links = checkpoint(links.join(on.select(F.col("node").alias("next")), "next", "left_semi").select("node", "next"))
+    ends = checkpoint(ends.select(F.col("id").alias("end")).distinct())
+    n_ends, done = ends.count(), None
+    first = starts.select(F.col("id").alias("node")).distinct()
+    level = first.select(F.col("node").alias("start"), "node", F.array("node").alias("path"))
+    for n in range(1, depth + 1):
+        longer = level.join(links, "node").where(~F.array_contains("path", F.col("next")))
+        level = checkpoint(longer.select("start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path")))
+        if not level.limit(1).count():
+            break
+        here = level.join(ends, F.col("node") == F.col("end")).select("start", "end", F.lit(n).alias("n_steps"), "path")
+        done = here if done is None else done.unionByName(here)
+        if limit is not None:
+            full = done.groupBy("start", "end").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= limit)
+            full = full.groupBy("start").agg(F.count(F.lit(1)).alias("_full")).where(F.col("_full") >= n_ends)
+            level = level.join(full, "start", "left_anti")
+    if done is None:
+        return level.select("start", F.col("node").alias("end"), F.lit(0).alias("n_steps"), "path").where("false")
+    if limit is None:
+        return done
+    w = Window.partitionBy("start", "end").orderBy("n_steps", "path")
+    return done.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= limit).drop("_k")
 
 
 def step_keys(id_: Column) -> Column:
@@ -110,12 +120,14 @@ def step_keys(id_: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(id_, at(2), at(3), F.concat_ws("::", at(2), at(3)), F.element_at(p, -1))))
 
 
-def trace(graph: CodeGraph, target: DataFrame, depth: int = 5, limit: int | None = 20) -> DataFrame:
+def trace(graph: CodeGraph, target: DataFrame, depth: int = 10, limit: int | None = 20) -> DataFrame:
     """(start, n_steps, path): simple call paths from code that nothing calls to the target symbol (id).
 
     The last step matches any spelling of the target, earlier ones an id or a
-    bare name. Paths are ordered by length and text before the limit.
+    bare name. Paths are ordered by length and text before the limit, so once
+    the paths of some length are as many as the limit no longer ones are made.
     """
+    graph, target = narrow(graph), checkpoint(target)
     name = target.join(graph.names, "id").select(F.explode(F.array("id", "name")).alias("key")).distinct()
     calls = graph.calls
     into = calls.withColumn("key", F.explode(X.tails(F.col("to_id")))).join(name, "key").select("from_id").distinct()
@@ -127,9 +139,12 @@ def trace(graph: CodeGraph, target: DataFrame, depth: int = 5, limit: int | None
     keyed = callers.select(F.col("from_id").alias("node"), F.explode(step_keys(F.col("from_id"))).alias("to_id"))
     links = checkpoint(keyed.join(calls.select("to_id", F.col("from_id").alias("next")), "to_id").select("node", "next").distinct())
     called = links.select("node").distinct()
-    levels, level, n = [], checkpoint(seeds), 1
+    levels, level, n, enough = [], checkpoint(seeds), 1, 0
     while n <= depth and level.limit(1).count():
         levels.append(level.join(called, "node", "left_anti").select(F.col("node").alias("start"), F.lit(n).alias("n_steps"), "path"))
+        enough += levels[-1].count() if limit else 0
+        if limit and enough >= limit:
+            break
         longer = level.join(links, "node").where(~F.array_contains("path", F.col("next")))
         level = checkpoint(longer.select("start", F.col("next").alias("node"), F.concat(F.array("next"), "path").alias("path")))
         n += 1

@@ -26,6 +26,24 @@ def status(graph: CodeGraph, hashes: DataFrame) -> DataFrame:
     return full.select("project", zero("n_files"), zero("n_symbols"), zero("n_edges"), "last_indexed_at", state.alias("state"))
 
 
+def totals(members: DataFrame) -> DataFrame:
+    """One row of a status table (status()): projects, sums over them, the last indexing of any, whether all are indexed."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_files", "n_symbols", "n_edges")]
+    return members.agg(F.count(F.lit(1)).alias("n_projects"), *sums, F.max("last_indexed_at").alias("last_indexed_at"), F.coalesce(F.bool_and(F.col("n_symbols") > 0), F.lit(True)).alias("all_indexed"))
+
+
+def find_symbols(graph: CodeGraph) -> DataFrame:
+    """(project, name, id, n_symbols): for every name the one symbol that it means in each project."""
+    order = F.struct(F.col("parent_id").isNotNull().alias("inner"), "file_path", "line_start", "id")
+    by = graph.symbols.groupBy(project_of(F.col("file_path")).alias("project"), "name")
+    return by.agg(F.min(order)["id"].alias("id"), F.count(F.lit(1)).alias("n_symbols"))
+
+
+def languages(graph: CodeGraph) -> DataFrame:
+    """(language, n_projects, n_files): the languages of all projects."""
+    return graph.symbols.groupBy("language").agg(F.countDistinct(project_of(F.col("file_path"))).alias("n_projects"), F.countDistinct("file_path").alias("n_files"))
+
+
 def refs(graph: CodeGraph, name: str, limit: int = 20) -> DataFrame:
     """References to a name in all projects: at most twice the limit of each project, the first `limit` by kind and holder.
 
