@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.scale import checkpoint, left_join_skewed
+from skein.session import ship_package
 from skein.tables import CLASS_LIKE, current_symbols
 
 _OPEN = re.compile(r"^\s*(?:/\*[*!]?|\"\"\"|'''|<!--|\{-|\(\*)")
@@ -270,6 +271,7 @@ def documented_functions(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     cyclic: no class is visited twice for the same method. A base that several
     classes could be is none (base_links reports it).
     """
+    ship_package(symbols.sparkSession)
     current = checkpoint(current_symbols(symbols, ["name", "kind", "file_path", "signature", "docstring", "parent_id", "language"]))
     functions = current.where(F.col("kind").isin("function", "method") & F.col("signature").rlike(r"[^\s\p{Z}]"))
     told = functions.withColumn("_d", _described("docstring", "name")).select(

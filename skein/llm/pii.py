@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.pii_text import BLANKS, LABELS, PARTICLES, TOKEN, Piece, name_pairs, plain_blanks
 from skein.scale import FEW_ROWS, checkpoint, left_join_skewed
+from skein.session import ship_package
 
 K = len(LABELS)
 NAME = LABELS.index("name")
@@ -64,6 +65,7 @@ def learned_names(documents: DataFrame, known: DataFrame, support: int = 3) -> D
     nor the learned names are bounded: both are tables, and words meet them in
     joins after partial counts. Names that are null say nothing.
     """
+    ship_package(documents.sparkSession)
     known = known.where("name is not null and name_kind is not null").select(F.lower("name").alias("name"), F.col("name_kind").alias("kind")).distinct()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.session import ship_package
+
 #: Fixed value: the split of the byte-level tokenizers, with white space by its Unicode property.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -208,6 +210,7 @@ def encoded(documents: DataFrame, text: str = "text", path: str | None = None, p
     The pair table (about 4 MB, fixed by the tokenizer) is the only thing
     broadcast. Other columns are kept; a column called ids is replaced.
     """
+    ship_package(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(_loaded(path or default_path()))
     keep = documents.drop("ids") if text != "ids" else documents
     schema = T.StructType([*keep.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
