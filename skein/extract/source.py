@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from skein.extract.languages import LANGUAGES, Language, keyword, patterns
 from skein.functions.text import language_of
+from skein.session import ship_package
 
 CLASSES = ("class", "interface", "struct", "enum")
 ROW = (
@@ -210,7 +211,7 @@ def extract(path: str, text: str, language_name: str) -> Iterator[tuple]:
 
     module = f"{path}::__module__::function"
 
-    def scope(pos: int, default: str) -> str:
+    def enclosing(pos: int, default: str) -> str:
         best = None
         for i, (at, end, *_rest) in enumerate(kept):
             if at <= pos <= end and kinds[i] not in ("property", "variant", "const", "type"):
@@ -246,7 +247,7 @@ def extract(path: str, text: str, language_name: str) -> Iterator[tuple]:
         if reserved(name) or m.start("name") in declared:
             continue
         chained = clean[: m.start()].rstrip()[-1:] == "." and not owner
-        at, src = m.start("name"), scope(m.start(), module)
+        at, src = m.start("name"), enclosing(m.start(), module)
         parts = [p for p in re.split(r"\.|::", owner) if p]
         if m["new"]:
             edges.append((at, src, name, "instantiates"))
@@ -267,7 +268,7 @@ def extract(path: str, text: str, language_name: str) -> Iterator[tuple]:
     for kind, pattern in (("references_type", language.types), ("references", language.cases)):
         for m in re.finditer(pattern, clean, re.M) if pattern else ():
             if not keyword(m["to"]):
-                edges.append((m.start("to"), scope(m.start("to"), module), m["to"], kind))
+                edges.append((m.start("to"), enclosing(m.start("to"), module), m["to"], kind))
     for n, (at, src, to, kind) in enumerate(sorted(edges)):
         yield ("edge", None, None, kind, path, None, None, None, None, None, language_name, None, src, to, line_at(at), n)
 
@@ -276,7 +277,8 @@ def extract_rows(files: DataFrame) -> DataFrame:
     """Symbols and edges (one table, see ROW) of files (file_path, text).
 
     Files of other languages, without path or text, give nothing; a file that
-    can't be read to its end gives the rows up to there and fails nothing.
+    can't be read to its end gives the rows up to there and a row that says so
+    (what is 'failed', name the kind of error), and fails nothing else.
     """
     names = [c.split()[0] for c in re.split(r",\s*", ROW)]
     kinds = [pa.int32() if c.split()[1] == "int" else pa.string() for c in re.split(r",\s*", ROW)]
@@ -287,11 +289,12 @@ def extract_rows(files: DataFrame) -> DataFrame:
             for path, text, language in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 try:
                     out.extend(extract(path, text, language))
-                except (RecursionError, IndexError, ValueError):
-                    continue
+                except (RecursionError, IndexError, ValueError) as e:
+                    out.append(("failed", None, type(e).__name__, None, path, *[None] * 5, language, *[None] * 5))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
+    ship_package(files.sparkSession)
     known = files.select("file_path", "text", language_of(F.col("file_path")).alias("language"))
     return known.where("file_path is not null and text is not null and language is not null").mapInArrow(run, ROW)
 
@@ -307,3 +310,8 @@ def extracted_edges(rows: DataFrame) -> DataFrame:
     return rows.where("what = 'edge'").groupBy("from_id", "to_id", "kind").agg(first).select(
         "from_id", "to_id", "kind", F.col("_e.file_path").alias("file_path"), F.col("_e.line").alias("line")
     )
+
+
+def failed_files(rows: DataFrame) -> DataFrame:
+    """(file_path, language, error) of the files that could not be read to their end."""
+    return rows.where("what = 'failed'").select("file_path", "language", F.col("name").alias("error"))

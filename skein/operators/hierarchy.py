@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.scale import bucket_of, buckets_for, checkpoint
+from skein.session import ship_package
 
 TREE = "id string, parent_id string, state string, cycle_id string, root_id string, entry_id string, depth int, ring_place int, ring_size int, missing_parent string"
 WITH_PATH = TREE + ", path array<string>"
@@ -71,7 +72,7 @@ def components(nodes: DataFrame) -> DataFrame:
         todo = state.where("ptr is not null").join(step, "ptr").select(
             "id", "up", F.col("_ptr").alias("ptr"), F.least("low", "_low").alias("low"), F.col("_comp").alias("comp")
         )
-        state = checkpoint(state.where("ptr is null").unionByName(todo))
+        state = checkpoint(state.where("ptr is null").unionByName(todo), state)
         open_ = state.where("ptr is not null")
         left = open_.count()
         if left == 0:
@@ -168,14 +169,14 @@ def _by_doubling(nodes: DataFrame) -> DataFrame:
     state = checkpoint(nodes.select("id", F.col("parent_id").alias("ptr")).where("ptr is not null"))
     covered = 1
     while covered <= count and state.limit(1).count():
-        state = checkpoint(state.join(state.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr")), "ptr").select("id", F.col("_ptr").alias("ptr")))
+        state = checkpoint(state.join(state.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr")), "ptr").select("id", F.col("_ptr").alias("ptr")), state)
         covered *= 2
     on = checkpoint(state.select(F.col("ptr").alias("id")).distinct())
     ring = checkpoint(on.join(nodes, "id").select("id", F.col("parent_id").alias("ptr"), F.col("id").alias("low"), F.lit(1).cast("long").alias("n")))
     covered, members = 1, ring.count()
     while covered <= members:
         step = ring.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("low").alias("_low"))
-        ring, covered = checkpoint(ring.join(step, "ptr").select("id", F.col("_ptr").alias("ptr"), F.least("low", "_low").alias("low"))), covered * 2
+        ring, covered = checkpoint(ring.join(step, "ptr").select("id", F.col("_ptr").alias("ptr"), F.least("low", "_low").alias("low")), ring), covered * 2
     sizes = ring.groupBy("low").agg(F.count(F.lit(1)).cast("int").alias("ring_size"))
     on = checkpoint(ring.select("id", F.col("low").alias("cycle_id")))
 
@@ -185,7 +186,7 @@ def _by_doubling(nodes: DataFrame) -> DataFrame:
         while state.where("ptr is not null").limit(1).count():
             step = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("top").alias("_top"), F.col("n").alias("_n"))
             todo = state.where("ptr is not null").join(step, "ptr").select("id", F.col("_ptr").alias("ptr"), F.col("_top").alias("top"), (F.col("n") + F.col("_n")).alias("n"))
-            state = checkpoint(state.where("ptr is null").unionByName(todo))
+            state = checkpoint(state.where("ptr is null").unionByName(todo), state)
         return state.select("id", "top", "n")
 
     marked = nodes.join(on.withColumn("_on", F.lit(True)), "id", "left")
@@ -210,7 +211,7 @@ def _with_paths(tree: DataFrame) -> DataFrame:
     while state.where("_ptr is not null").limit(1).count():
         step = state.select(F.col("id").alias("_ptr"), F.col("_ptr").alias("_next"), F.col("path").alias("_path"))
         todo = state.where("_ptr is not null").join(step, "_ptr").withColumn("path", F.concat("_path", "path")).drop("_ptr", "_path")
-        state = checkpoint(state.where("_ptr is null").unionByName(todo.withColumnRenamed("_next", "_ptr")))
+        state = checkpoint(state.where("_ptr is null").unionByName(todo.withColumnRenamed("_next", "_ptr")), state)
     return state.drop("_ptr")
 
 
@@ -229,6 +230,7 @@ def hierarchy(rows: DataFrame, paths: bool = True, largest_together: int = LARGE
     joins, with the same result.
     """
     spark = rows.sparkSession
+    ship_package(spark)
     nodes = checkpoint(forest(rows.select("id", "parent_id")))
     comp = checkpoint(components(nodes))
     sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("_size"))

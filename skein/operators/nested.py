@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.session import ship_package
+
 #: Fields that hold arrays of objects, where an object that stands alone is element 0.
 ARRAY_FIELDS = frozenset(
     {"parameters", "params", "type_args", "annotations", "decorators", "attributes", "type_params", "bounds", "args", "throws"}
@@ -179,6 +181,7 @@ def nested_triples(records: DataFrame, id_col: str = "id", json_col: str = "meta
         if out:
             yield send()
 
+    ship_package(records.sparkSession)
     return records.select(F.col(id_col).alias("id"), F.col(json_col).alias("_json")).mapInArrow(parse, TRIPLES)
 
 

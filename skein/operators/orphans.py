@@ -102,7 +102,7 @@ def orphaned_records(links: DataFrame, held: DataFrame) -> DataFrame:
         active = left
         step = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("n").alias("_n"))
         todo = state.where("ptr is not null").join(step, "ptr")
-        state = checkpoint(state.where("ptr is null").unionByName(todo.select("id", F.col("_ptr").alias("ptr"), (F.col("n") + F.col("_n")).alias("n"))))
+        state = checkpoint(state.where("ptr is null").unionByName(todo.select("id", F.col("_ptr").alias("ptr"), (F.col("n") + F.col("_n")).alias("n"))), state)
     reached = state.where("ptr is null").select("id", (F.col("n") + 1).alias("level"))
     leaves = links.join(state.select("id"), "id", "left_anti").join(own, "id", "left_anti")
     leaves = leaves.join(reached.select(F.col("id").alias("parent_id"), "level"), "parent_id").select("id", (F.col("level") + 1).alias("level"))

@@ -12,6 +12,7 @@ from skein.functions import text as X
 from skein.functions.stem import stem
 from skein.operators.graph import CodeGraph, callees_of, callers_of, find_symbol, importance
 from skein.scale import checkpoint
+from skein.session import ship_package
 
 #: Fixed values of the ranking: term saturation, length normalisation, weights of the two searched columns.
 K1, B, WEIGHTS = 1.2, 0.75, {"name": 5.0, "body": 10.0}
@@ -73,6 +74,7 @@ def token_lists(docs: DataFrame, stems: bool = True) -> DataFrame:
     fields = F.array(*[F.struct(F.lit(f).alias("field"), words(F.coalesce(F.col(f), F.lit(""))).alias("ws")) for f in WEIGHTS])
     rows = docs.select("id", F.explode(fields).alias("f")).select("id", "f.field", "f.ws")
     if stems:
+        ship_package(docs.sparkSession)
         rows = rows.withColumn("ws", _stemmed(F.col("ws")))
     return rows
 

@@ -24,5 +24,9 @@ def x02_edges(spark: SparkSession, d: str) -> DataFrame:
     return S.extracted_edges(_rows(spark, d))
 
 
-QUERIES = {"x01_symbols": x01_symbols, "x02_edges": x02_edges}
-SQL: dict[str, str] = {}
+def x03_failed_files(spark: SparkSession, d: str) -> DataFrame:
+    return S.failed_files(_rows(spark, d))
+
+
+QUERIES = {"x01_symbols": x01_symbols, "x02_edges": x02_edges, "x03_failed_files": x03_failed_files}
+SQL = {"x03_failed_files": "select path as file_path, lang as language, lang as error from documents where false"}

@@ -31,30 +31,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """df, written as a table to the shared checkpoint folder and read from there: its lineage ends at the files.
 
     Columnar files are a fraction of the size of a checkpointed RDD, and later
-    steps read only the columns they need. The tables are removed when the
-    Python process ends.
+    steps read only the columns they need. A loop whose next state takes the
+    place of the last one gives that as `replaces`, and its table is removed as
+    soon as the new one is written; the others when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/skein-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
         atexit.register(_remove_written)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skein_table = path
+    if replaces is not None and (old := getattr(replaces, "_skein_table", None)) in _written:
+        _remove(_written.pop(old), old)
+    return out
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _remove_written() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001 - the session has ended already; its folder is the cluster's to clear
             return
 

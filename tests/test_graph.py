@@ -9,6 +9,7 @@ import pytest
 
 from skein.functions.stem import stem
 from skein.operators import graph as G
+from skein.operators import report as R
 from skein.operators import search as S
 from skein.operators import traversal as T
 from skein.operators.graph import CodeGraph
@@ -112,3 +113,50 @@ def test_ranks_equal_full_text_search(spark):
         assert got.keys() == want.keys()
         assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
     assert S.find(build(spark, s, []), "  ").count() == 0
+
+
+def test_flow_keeps_the_first_paths_of_each_pair(spark):
+    rnd = random.Random(8)
+    s = [sym(f"n{i}", line=i + 1) for i in range(9)]
+    g = build(spark, s, [(s[a][0], s[b][0], "calls", "f", 1, 1) for a in range(9) for b in range(9) if rnd.random() < 0.45])
+    every = g.symbols.select("id")
+    key = lambda r: (r["start"], r["end"])
+    whole, some = T.flow(g, every, every, 5, None).collect(), T.flow(g, every, every, 5, 3).collect()
+    want = {}
+    for r in sorted(whole, key=lambda r: (r["n_steps"], r["path"])):
+        want.setdefault(key(r), []).append(r["path"])
+    got = {}
+    for r in sorted(some, key=lambda r: (r["n_steps"], r["path"])):
+        got.setdefault(key(r), []).append(r["path"])
+    assert max(map(len, want.values())) > 3 and got == {k: v[:3] for k, v in want.items()}
+
+
+def test_files_and_sketches(spark):
+    box = sym("Box", "class", "src/b.ts", 1)
+    box_open, use = sym("open", "method", "src/b.ts", 3, box[0]), sym("use", "function", "src/u.ts", 1)
+    face, kind, red = sym("Face", "interface", "src/b.ts", 9), sym("Tone", "enum", "src/b.ts", 20), sym("Red", "variant", "src/b.ts", 21, "src/b.ts::Tone::enum::20")
+    edges = [(use[0], "box.open", "calls", "src/u.ts", 2, 1), (use[0], "Box", "instantiates", "src/u.ts", 2, 1), (box[0], face[0], "implements", "src/b.ts", 1, 1), ("src/u.ts::__module__::function", "./b::Box", "imports", "src/u.ts", 1, 1), (box_open[0], "lib", "calls", "src/b.ts", 4, 1)]
+    g = build(spark, [box, box_open, use, face, kind, red], edges)
+    found = {(r["target"], r["to_id"]) for r in G.file_refs(g).collect()}
+    assert found == {("src/b.ts", "box.open"), ("src/b.ts", "Box"), ("src/b.ts", face[0]), ("src/b.ts", "./b::Box")}
+    assert {(r["target"], r["name"], r["is_external"]) for r in G.file_deps(g).collect()} == {("src/u.ts", "box.open", True), ("src/u.ts", "Box", False), ("src/u.ts", "Box", True), ("src/b.ts", "lib", True)}
+    first = G.first_refs(G.refs(g, g.symbols.select("id")), limit=1).where(f"target = '{box[0]}'").collect()
+    assert [(r["place"], r["total"], r["kind"]) for r in first] == [(1, 3, "calls")]
+    told = {(r["id"].split("::")[1], r["section"], r["item"], r["n"]) for r in R.sketches(g).collect()}
+    assert told == {
+        ("Box", "member", box_open[0], 1), ("Box", "implements", "Face", None), ("Box", "depends", "lib", None), ("open", "calls", "lib", None), ("open", "called_by", "use", 1),
+        ("use", "calls", "box.open", None), ("Face", "implementor", box[0], None), ("Tone", "variant", red[0], None), ("Tone", "callers", "callers", 0),
+    }
+    none = build(spark, [], [])
+    assert R.sketches(none).count() == 0 and G.file_refs(none).count() == 0 and G.file_deps(none).count() == 0
+
+
+def test_projects_are_ranked_by_themselves(spark):
+    s = [sym(f"retry{i}", path=f"{p}/f.ts", line=i + 1, sig="invoice " * (i % 3)) for p, n in (("one", 9), ("two", 4)) for i in range(n)]
+    g = build(spark, s, [])
+    both = {r["id"]: r["rank"] for r in S.find_in_projects(g, "invoice", 99).collect()}
+    for p in ("one", "two"):
+        alone = CodeGraph(g.symbols.where(f"file_path = '{p}/f.ts'"), g.edges)
+        want = {r["id"]: r["rank"] for r in S.find(alone, "invoice", limit=99).collect()}
+        assert want and all(abs(both[i] - x) < 1e-9 for i, x in want.items())
+    assert S.find_in_projects(g, " ").count() == 0

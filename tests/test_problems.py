@@ -262,3 +262,13 @@ def test_cascade_against_brute_force(spark):
                 level[i] = len(way)
         s = "id string, parent_id string"
         assert dict(O.orphaned_records(spark.createDataFrame(links, s), spark.createDataFrame(sorted(held), s)).collect()) == level
+
+
+def test_tables_of_earlier_rounds_are_removed(spark):
+    import os
+
+    from skein.scale import checkpoint
+
+    one = checkpoint(spark.range(3).toDF("id"))
+    two = checkpoint(one.select((one.id + 1).alias("id")), one)
+    assert not os.path.exists(one._skein_table) and rows(two) == [(1,), (2,), (3,)]
