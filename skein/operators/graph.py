@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.scale import checkpoint, left_join_skewed
+from skein.scale import lookup_by
 from skein.tables import CLASS_LIKE, current_edges, current_symbols, table
 
 SYMBOL = ["id", "name", "kind", "file_path", "line_start", "line_end", "signature", "docstring", "parent_id", "language", "metadata"]
@@ -316,12 +316,12 @@ def resolved(graph: CodeGraph, deps: DataFrame) -> DataFrame:
     Of several that have the same name and kind the one of the least depth,
     then the smallest to_id, remains.
     """
-    # A spelling is resolved once, however many dependencies have it; the table of distinct spellings has no hot key.
+    # A spelling is resolved once, however many dependencies have it: distinct spellings have no hot key, and lookup_by keeps hot ones apart.
     by_id = graph.symbols.select(F.col("id").alias("to_id"), F.col("name").alias("_name"), F.col("file_path").alias("_file"))
     by_name = find_symbols(graph).select(F.col("name").alias("to_id"), F.col("file_path").alias("_any"))
-    known = deps.select("to_id").distinct().join(by_id, "to_id", "left").join(by_name, "to_id", "left")
+    known = graph.edges.select("to_id").distinct().join(by_id, "to_id", "left").join(by_name, "to_id", "left")
     known = known.select("to_id", F.coalesce("_name", X.name_in_id(F.col("to_id"))).alias("name"), F.coalesce("_file", "_any").alias("file_path"))
-    full = left_join_skewed(checkpoint(deps), known, "to_id")
+    full = lookup_by(known, "to_id")(deps)
     full = full.select("target", "kind", "name", F.struct("depth", "to_id", "file_path").alias("_d"))
     return full.groupBy("target", "name", "kind").agg(F.min("_d").alias("_d")).select(
         "target", "name", "kind", F.col("_d.depth").alias("depth"), F.col("_d.file_path").alias("file_path"), F.col("_d.file_path").isNull().alias("is_external")

@@ -17,15 +17,22 @@ def transitive_deps(graph: CodeGraph, ids: DataFrame, depth: int = 3) -> DataFra
     gone on from again, which leaves the least depths as they are and keeps
     cycles finite.
     """
-    out = checkpoint(graph.edges.select("from_id", "to_id", "kind"))  # read in every step; deliveries are reduced once
+    graph = narrow(graph)
+    out = graph.edges
     src = checkpoint(sources_of(graph, ids))
     found = checkpoint(out.join(src, "from_id").select("target", "to_id", "kind").distinct().withColumn("depth", F.lit(1)))
-    frontier = found.select("target", F.col("to_id").alias("from_id")).distinct()
+    # Only what has edges of its own is gone on from, once a target.
+    begins = out.select(F.col("from_id").alias("to_id")).distinct()
+    frontier = checkpoint(found.select("target", "to_id").distinct().join(begins, "to_id", "left_semi"))
     seen = frontier
     for level in range(2, depth + 1):
-        step = checkpoint(out.join(frontier, "from_id").select("target", "to_id", "kind").distinct().withColumn("depth", F.lit(level)))
+        step = out.join(frontier.withColumnRenamed("to_id", "from_id"), "from_id").select("target", "to_id", "kind").distinct()
+        step = checkpoint(step.withColumn("depth", F.lit(level)))
         found = found.unionByName(step)
-        frontier = checkpoint(step.select("target", F.col("to_id").alias("from_id")).distinct().join(seen, ["target", "from_id"], "left_anti"))
+        if level == depth:
+            break
+        frontier = step.select("target", "to_id").distinct().join(begins, "to_id", "left_semi").join(seen, ["target", "to_id"], "left_anti")
+        frontier = checkpoint(frontier)
         if not frontier.limit(1).count():
             break
         seen = seen.unionByName(frontier)
