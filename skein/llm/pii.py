@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.pii_text import BLANKS, LABELS, PARTICLES, TOKEN, Piece, name_pairs, plain_blanks
+from skein.llm.pii_text import LABELS, PARTICLES, PLAIN_WORD, TOKEN, Piece, name_pairs, plain_blanks
 from skein.scale import FEW_ROWS, checkpoint, left_join_skewed
 from skein.session import ship_package
 
@@ -104,7 +104,7 @@ def learned_names(documents: DataFrame, known: DataFrame, support: int = 3) -> D
 def words_of(text: str) -> set[str]:
     """The lower-case words of a text under which a lexicon is asked: tokens, their parts, and what stands between blanks and marks."""
     low = plain_blanks(text).lower()
-    words = set(low.translate(BLANKS).split()) | {w.lower() for w in TOKEN.findall(plain_blanks(text))}
+    words = set(PLAIN_WORD.findall(low)) | {w.lower() for w in TOKEN.findall(plain_blanks(text))}
     parts = {x for w in words if "-" in w for x in w.split("-")}
     return words | parts | {w[3:] for w in words if w.startswith("al-")}
 
@@ -229,31 +229,32 @@ def posterior(model: dict, chains: list[list[list[int]]], edges: list[tuple[int,
     at = np.concatenate([[0], np.cumsum([len(c) for c in chains])])
     base = np.zeros((at[-1], K), np.float32)
     groups = []
-    order = sorted(range(len(chains)), key=lambda i: len(chains[i]))
+    linked = {c for _, c, _ in edges}  # only chains with skip edges change between the rounds, so they are passed apart
+    order = sorted(range(len(chains)), key=lambda i: (i in linked, len(chains[i])))
     lo = 0
     while lo < len(order):
         hi = lo + 1
-        while hi < min(len(order), lo + 512) and len(chains[order[hi]]) * (hi + 1 - lo) <= BATCH_CELLS:
+        while hi < min(len(order), lo + 512) and len(chains[order[hi]]) * (hi + 1 - lo) <= BATCH_CELLS and (order[hi] in linked) == (order[lo] in linked):
             hi += 1
         mine, lo = order[lo:hi], hi
         length = len(chains[mine[-1]])
         place = at[np.array(mine)][:, None] + np.arange(length)
         mask = np.arange(length) < np.array([len(chains[i]) for i in mine])[:, None]
         place[~mask] = 0
-        groups.append((mask, place))
+        groups.append((mask, place, mine[0] in linked))
         for t in range(0, length, BATCH_CELLS):  # features of a part at a time: they take the most room
             x, part = _padded([chains[i][t : t + BATCH_CELLS] for i in mine], len(model["w"]) - 1)
             base[place[:, t : t + BATCH_CELLS][part]] = model["w"][x].sum(2)[part]
     token = np.array([at[c] + i for _, c, i in edges], np.int64)
     _, hub = np.unique(np.array([g for g, _, _ in edges], np.int64), return_inverse=True)
-    moved = set(token.tolist())
-    linked = [g for g in groups if not moved.isdisjoint(g[1][g[0]].tolist())]  # only these change between rounds
     to_token = np.zeros((len(token), K), np.float32)
     belief, before = np.empty_like(base), None
     for turn in range(ROUNDS):
         extra = np.zeros_like(base)
         np.add.at(extra, token, to_token)
-        for mask, place in linked if turn else groups:
+        for mask, place, again in groups:
+            if turn and not again:
+                continue
             pot = base[place] + extra[place]
             pot[~mask] = 0
             if pot.shape[1] > CHAIN:  # the sums along a long chain outgrow single precision
@@ -391,7 +392,7 @@ def fit(documents: DataFrame, train_docs: int = TRAIN_DOCS, lexicon: Broadcast |
     between capitals that are in neither are the examples of what is no name.
     At most train_docs * 8 chains, in the order of the hashed ids, are used.
     """
-    sample = checkpoint(sampled(documents, train_docs))
+    sample = checkpoint(sampled(documents, train_docs).repartition("_h"))
     word = F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_])\p{Ll}[\p{L}'’\-]+"), F.lit(0)))
     common = sample.select(word.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     common = frozenset(r["w"] for r in common.orderBy(F.desc("n"), "w").limit(MAX_FEATURES).collect())

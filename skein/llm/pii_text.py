@@ -71,7 +71,8 @@ _PAIR = re.compile(rf"[{_CAPITALS}][\w'’.\-]* [{_CAPITALS}]")
 #: The blanks of Unicode but the ordinary one; each is a single character, so a copy without them has the same places.
 WIDE_BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 _WIDE = re.compile(f"[{WIDE_BLANKS}]")
-BLANKS = str.maketrans({c: " " for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\r"})
+#: What stands between blanks and marks; apostrophes are part of words.
+PLAIN_WORD = re.compile(r"""[^!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~\s]+""")
 
 
 def plain_blanks(text: str) -> str:
@@ -195,16 +196,18 @@ class Piece:
         self.found = candidates(text)
         lines = dict(_lines_with(_PAIR, text))
         for start, _, _, _ in self.found:
-            lines[text.rfind("\n", 0, start) + 1] = text.find("\n", start) % (len(text) + 1)
+            end = text.find("\n", start)
+            lines[text.rfind("\n", 0, start) + 1] = len(text) if end < 0 else end
         low = text.lower()
         if len(low) != len(text):  # a letter whose lower case is longer would move all places
             low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
-        if not lexicon.keys().isdisjoint(low.translate(BLANKS).split()):
-            at = 0
-            for line in low.split("\n"):
-                if at not in lines and not lexicon.keys().isdisjoint(line.translate(BLANKS).split()):
-                    lines[at] = at + len(line)
-                at += len(line) + 1
+        for name in lexicon.keys() & set(PLAIN_WORD.findall(low)):
+            at = low.find(name)
+            while at >= 0:  # every line that has the name
+                start, end = low.rfind("\n", 0, at) + 1, low.find("\n", at)
+                end = len(low) if end < 0 else end
+                lines[start] = end
+                at = low.find(name, end)
         for at, end in sorted(lines.items()):
             for m in TOKEN.finditer(text, at, end):
                 self.words.append(m[0])
