@@ -43,7 +43,7 @@ HIDDEN = 0.5
 #: Most rounds of belief propagation over the skip edges, and the change of a probability below which they end.
 ROUNDS, SETTLED = 8, 0.01
 #: Least probability of a candidate whose form is exact, and of every word of a name that the lexicon doesn't have in full.
-FORM, UNSURE = 0.2, 0.75
+FORM, UNSURE = 0.2, 0.95
 #: Longest chain of the training; a longer window is trained on in parts of this length. Inference runs over whole windows.
 CHAIN = 64
 #: Padded tokens that are passed together; a longer chain is passed alone.
