@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.scale import lookup_by
+from skein.scale import checkpoint, join_pairs, lookup_by
 from skein.tables import CLASS_LIKE, current_edges, current_symbols, table
 
 SYMBOL = ["id", "name", "kind", "file_path", "line_start", "line_end", "signature", "docstring", "parent_id", "language", "metadata"]
@@ -244,6 +244,28 @@ def match_names(graph: CodeGraph, ids: DataFrame) -> DataFrame:
     return both.select("target", F.explode(F.array("id", "name")).alias("key")).distinct()
 
 
+def grouped_refs(graph: CodeGraph, names: DataFrame, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges with group and from_name) and (group, target): the references to targets by their names (target, key), not paired yet.
+
+    An edge is in one group and a target in a group once, so joined by group
+    they give every reference once. Edges of spellings that one key fits are that key's
+    group; a spelling that fits several keys is a group of its own.
+    """
+    names = checkpoint(names)
+    edges = checkpoint(graph.edges.where(F.col("kind").isin(*kinds)) if kinds else graph.edges)
+    spelled = edges.select("to_id").distinct().withColumn("key", F.explode(X.tails(F.col("to_id"))))
+    hits = checkpoint(spelled.join(names.select("key").distinct(), "key", "left_semi"))
+    own = hits.groupBy("to_id").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("_key"))
+    own = checkpoint(own.select("to_id", "_n", F.when(F.col("_n") == 1, F.concat(F.lit("k"), "_key")).otherwise(F.concat(F.lit("s"), "to_id")).alias("group")))
+    by_key = own.where("_n = 1").select("group").distinct()
+    targets = names.select("target", F.concat(F.lit("k"), "key").alias("group")).join(by_key, "group", "left_semi")
+    several = hits.join(own.where("_n > 1"), "to_id").join(names, "key").select("target", "group").distinct()
+    targets = checkpoint(targets.unionByName(several))
+    found = checkpoint(lookup_by(own.drop("_n"), "to_id")(edges).where("group is not null"), replaces=edges)
+    named = names_of_ids(graph, found, "from_id").withColumnRenamed("from_id_name", "from_name")
+    return checkpoint(named, replaces=found), targets
+
+
 def refs(graph: CodeGraph, ids: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """(target, from_id, to_id, kind, file_path, line, from_name): every reference to the symbols `ids`.
 
@@ -256,6 +278,61 @@ def refs(graph: CodeGraph, ids: DataFrame, kinds: list[str] | None = None) -> Da
     return names_of_ids(graph, hits, "from_id").withColumnRenamed("from_id_name", "from_name")
 
 
+def picked_refs(edges: DataFrame, targets: DataFrame, limit: int = 20) -> DataFrame:
+    """(target, totals, alone, picks): which of its references (grouped_refs) are the first `limit` of each target, in first_refs' order.
+
+    picks has the place and the columns of every such reference in one group; alone says
+    that the target has picks in no other group, so that the row is all it has. totals has
+    (kind, n) of all references to the target. A target's first ones are
+    among the first of its groups, so no more than those are ever joined, and
+    they are merged by their numbers in the order of all edges.
+    """
+    order = ["kind", "file_path", "line", "from_id", "to_id"]
+    ranked = checkpoint(edges.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    place = F.row_number().over(Window.partitionBy("group").orderBy("_at"))
+    first = ranked.withColumn("_i", place).where(F.col("_i") <= limit)
+    rows = first.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("_at", *order, "from_name"))).alias("_rows"))
+    counts = ranked.groupBy("group", "kind").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy("group").agg(F.collect_list(F.struct("kind", "n")).alias("_kinds"))
+    groups = checkpoint(rows.join(counts, "group"), replaces=ranked)
+
+    own = targets.join(groups.select("group", "_kinds", F.col("_rows._at").alias("_ats")), "group")
+    own = own.groupBy("target").agg(F.collect_list(F.struct("group", "_ats", "_kinds")).alias("_g"))
+    each = F.flatten(F.transform("_g", lambda g, k: F.transform(g["_ats"], lambda at, i: F.named_struct(F.lit("at"), at, F.lit("k"), k, F.lit("i"), i))))
+    own = own.withColumn("_all", F.slice(F.array_sort(each), 1, limit)).withColumn("_kinds", F.flatten("_g._kinds"))
+    totals = F.transform(
+        F.array_distinct("_kinds.kind"),
+        lambda kind: F.named_struct(F.lit("kind"), kind, F.lit("n"), F.aggregate(F.filter("_kinds", lambda x: x["kind"] == kind), F.lit(0).cast("long"), lambda a, x: a + x["n"])),
+    )
+    at = F.transform("_all", lambda x, p: F.named_struct(F.lit("place"), p + 1, F.lit("k"), x["k"], F.lit("i"), x["i"]))
+    own = own.select("target", totals.alias("totals"), (F.size(F.array_distinct("_all.k")) == 1).alias("alone"), at.alias("_all"), F.posexplode("_g.group").alias("_k", "group"))
+    own = own.withColumn("_all", F.filter("_all", lambda x: x["k"] == F.col("_k"))).where(F.size("_all") > 0)
+
+    def pick(x):  # noqa: ANN001, ANN202
+        row = F.element_at("_rows", x["i"] + 1)
+        return F.named_struct(F.lit("place"), x["place"], *[y for c in (*order, "from_name") for y in (F.lit(c), row[c])])
+
+    full = own.drop("_k").join(groups.select("group", "_rows"), "group")
+    return full.select("target", "totals", "alone", F.transform("_all", pick).alias("picks"))
+
+
+def first_refs_of(edges: DataFrame, targets: DataFrame, limit: int = 20) -> DataFrame:
+    """first_refs of references that aren't paired yet (grouped_refs)."""
+    total = F.aggregate("totals", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("total")
+    return picked_refs(edges, targets, limit).select("target", total, F.explode("picks").alias("_p")).select("target", "_p.*", "total")
+
+
+def top_refs_of(edges: DataFrame, targets: DataFrame, limit: int = 20) -> DataFrame:
+    """top_refs of references that aren't paired yet (grouped_refs); only targets with picks in several groups are brought together."""
+    picked = picked_refs(edges, targets, limit)
+    mixed = picked.where("not alone").groupBy("target").agg(F.first("totals").alias("totals"), F.flatten(F.collect_list("picks")).alias("picks"))
+    full = picked.where("alone").select("target", "totals", "picks").unionByName(mixed)
+    kind = F.explode(F.array_distinct("picks.kind"))
+    full = full.withColumn("kind", kind).withColumn("refs", F.array_sort(F.filter("picks", lambda x: x["kind"] == F.col("kind"))))
+    total = F.filter("totals", lambda x: x["kind"] == F.col("kind"))[0]["n"]
+    return full.select("target", "kind", F.size("refs").cast("long").alias("shown"), "refs", total.alias("total"), X.kind_words(F.col("kind")).alias("how"))
+
+
 def first_refs(found: DataFrame, target: str = "target", limit: int = 20) -> DataFrame:
     """The first `limit` references to each target by kind, file and line, with place and the untruncated total."""
     order = ["kind", "file_path", "line", "from_id", "to_id"]
@@ -277,6 +354,11 @@ def callers(graph: CodeGraph, ids: DataFrame) -> DataFrame:
     return refs(graph, ids, ["calls"])
 
 
+def file_names(graph: CodeGraph) -> DataFrame:
+    """(target, key): ids and names of the symbols of each file (target)."""
+    return graph.symbols.select(F.col("file_path").alias("target"), F.explode(F.array("id", "name")).alias("key")).distinct()
+
+
 def file_refs(graph: CodeGraph, kinds: list[str] | None = None) -> DataFrame:
     """(target, from_id, to_id, kind, file_path, line): every reference to a symbol of each file (target), one row an edge and file."""
     edges = graph.keyed_edges()

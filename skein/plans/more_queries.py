@@ -14,7 +14,6 @@ from skein.operators import search as S
 from skein.operators import workspace as W
 from skein.operators.graph import CodeGraph
 from skein.plans.graph_queries import _DIR, _FIRST20, _GROUP, _NAME_OF, _REFS, _TEST, BASE, CLASSY, COUNTS, FIRST, TAILS
-from skein.scale import checkpoint
 from skein.tables import table
 
 QUERY = "retry invoice"
@@ -129,7 +128,7 @@ def q19_diff(spark: SparkSession, d: str) -> DataFrame:
 def a15_refs_grouped(spark: SparkSession, d: str) -> DataFrame:
     """The first 20 references to every symbol, by kind."""
     g = CodeGraph.read(spark, d)
-    out = G.top_refs(checkpoint(G.refs(g, g.symbols.select("id"))), 20)
+    out = G.top_refs_of(*G.grouped_refs(g, G.match_names(g, g.symbols.select("id"))), 20)
     told = F.transform("refs", lambda r: F.concat_ws(" ", F.concat_ws(":", r["file_path"], r["line"]), r["from_name"], r["to_id"]))
     return out.select("target", "kind", "how", "shown", "total", F.array_join(told, "; ").alias("refs"))
 

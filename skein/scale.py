@@ -37,11 +37,17 @@ def checkpoint(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     Columnar files are a fraction of the size of a checkpointed RDD, and later
     steps read only the columns they need. A loop whose next state takes the
     place of the last one gives that as `replaces`, and its table is removed as
-    soon as the new one is written; the others when the Python process ends.
+    soon as the new one is written; the others when the Python process ends. The
+    shuffle files behind the table are removed as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/skein-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     if not _written:
         atexit.register(_remove_written)
     _written[path] = spark
@@ -52,6 +58,9 @@ def checkpoint(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     return out
 
 
+#: Spark's setting that an execution's shuffle files go when it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: dict[str, SparkSession] = {}
 
 
@@ -112,3 +121,24 @@ def lookup_by(table: DataFrame, key: str, most: int = FEW_ROWS) -> Callable[[Dat
     if table.count() <= most:
         return lambda big: big.join(F.broadcast(table), key, "left")
     return lambda big: left_join_skewed(big, table, key)
+
+
+#: Pairs of one key that a join makes in one task; more are shared out.
+PAIRS_TOGETHER = 1_000_000
+
+
+def join_pairs(left: DataFrame, right: DataFrame, key: str, together: int = PAIRS_TOGETHER) -> DataFrame:
+    """left join right on `key`, of which both sides may have many rows.
+
+    Pairs go straight to whoever reads the join. Of a key with more than
+    `together` pairs the left rows are shared out by their hash, and the right
+    ones repeated; such keys are at most pairs / together, so they are broadcast.
+    """
+    sizes = left.groupBy(key).agg(F.count(F.lit(1)).alias("_l")).join(right.groupBy(key).agg(F.count(F.lit(1)).alias("_r")), key)
+    pairs = F.col("_l") * F.col("_r")
+    hot = sizes.where(pairs > together).select(key, F.least(F.ceil(pairs / together), "_l").cast("int").alias("_parts"))
+    hot = F.broadcast(checkpoint(hot))
+    parts = F.coalesce("_parts", F.lit(1))
+    some = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("_parts")
+    every = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return some.join(every, [key, "_part"]).drop("_part")
