@@ -194,8 +194,8 @@ def q01_refs(spark: SparkSession, d: str) -> DataFrame:
 def q01_refs_first(spark: SparkSession, d: str) -> DataFrame:
     """Of two kinds of references to every symbol the first 20, with the total."""
     g = CodeGraph.read(spark, d)
-    found = checkpoint(G.refs(g, g.symbols.select("id"), ["calls", "instantiates"]))
-    return G.first_refs(found).select("target", "place", "from_id", "to_id", "kind", "total")
+    found = G.grouped_refs(g, G.match_names(g, g.symbols.select("id")), ["calls", "instantiates"])
+    return G.first_refs_of(*found).select("target", "place", "from_id", "to_id", "kind", "total")
 
 
 def q03_file_refs(spark: SparkSession, d: str) -> DataFrame:

@@ -56,3 +56,11 @@ def test_grouped_first_references_equal_those_of_all_pairs(spark, hot):
     got = G.top_refs_of(*G.grouped_refs(g, G.match_names(g, g.symbols.select("id"))), 20).collect()
     got = {(r["target"], r["kind"]): (r["shown"], r["total"], [(x["place"], x["file_path"], x["line"], x["from_name"], x["to_id"]) for x in r["refs"]]) for r in got}
     assert got == want and len(want) > 40
+
+
+def test_first_references_of_two_kinds(spark, hot):
+    g, folder, symbols = hot
+    found = {(r["target"], r["place"], r["from_id"], r["to_id"], r["kind"], r["total"]) for r in G.first_refs(G.refs(g, g.symbols.select("id"), ["calls", "instantiates"])).collect()}
+    q = entry.queries()["q01_refs_first"](spark, folder)
+    assert {tuple(r) for r in q.collect()} == found and len(found) > 40
+    assert "windowspecdefinition(target" not in q._jdf.queryExecution().executedPlan().toString()
