@@ -271,11 +271,9 @@ def refs(graph: CodeGraph, ids: DataFrame, kinds: list[str] | None = None) -> Da
 
     An edge that fits several names of a target is one row.
     """
-    edges = graph.keyed_edges()
-    if kinds:
-        edges = edges.where(F.col("kind").isin(*kinds))
-    hits = edges.join(match_names(graph, ids), "key").drop("key").dropDuplicates(["target", "from_id", "to_id", "kind"])
-    return names_of_ids(graph, hits, "from_id").withColumnRenamed("from_id_name", "from_name")
+    graph = CodeGraph(checkpoint(graph.symbols.select("id", "name", "kind", "parent_id")), graph.edges)
+    edges, targets = grouped_refs(graph, match_names(graph, ids), kinds)
+    return join_pairs(edges, targets, "group").select("from_id", "to_id", "kind", "file_path", "line", "target", "from_name")
 
 
 def picked_refs(edges: DataFrame, targets: DataFrame, limit: int = 20) -> DataFrame:

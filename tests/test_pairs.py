@@ -64,3 +64,17 @@ def test_first_references_of_two_kinds(spark, hot):
     q = entry.queries()["q01_refs_first"](spark, folder)
     assert {tuple(r) for r in q.collect()} == found and len(found) > 40
     assert "windowspecdefinition(target" not in q._jdf.queryExecution().executedPlan().toString()
+
+
+def test_callers_are_not_shuffled_once_paired(spark, hot):
+    g, folder, symbols = hot
+    q = entry.queries()["q04_callers"](spark, folder)
+    assert sorted((r["target"], r["from_id"], r["to_id"]) for r in q.collect()) == sorted(x[:3] for x in brute(g, symbols) if x[3] == "calls")
+    assert not shuffled_by(q, "target")
+
+
+def test_keys_with_many_pairs_are_shared_out(spark):
+    left = spark.range(300).select((F.col("id") % 3).alias("k"), F.col("id").alias("a"))
+    right = spark.range(100).select((F.col("id") % 4).alias("k"), F.col("id").alias("b"))
+    same = lambda df: sorted(map(tuple, df.select("k", "a", "b").collect()))
+    assert same(join_pairs(left, right, "k", 50)) == same(join_pairs(left, right, "k")) == same(left.join(right, "k"))
