@@ -359,11 +359,8 @@ def file_names(graph: CodeGraph) -> DataFrame:
 
 def file_refs(graph: CodeGraph, kinds: list[str] | None = None) -> DataFrame:
     """(target, from_id, to_id, kind, file_path, line): every reference to a symbol of each file (target), one row an edge and file."""
-    edges = graph.keyed_edges()
-    if kinds:
-        edges = edges.where(F.col("kind").isin(*kinds))
-    keys = graph.symbols.select(F.col("file_path").alias("target"), F.explode(F.array("id", "name")).alias("key")).distinct()
-    return edges.join(keys, "key").drop("key").dropDuplicates(["target", "from_id", "to_id", "kind"])
+    edges, targets = grouped_refs(graph, file_names(graph), kinds)
+    return join_pairs(edges, targets, "group").select("from_id", "to_id", "kind", "file_path", "line", "target")
 
 
 def file_deps(graph: CodeGraph) -> DataFrame:

@@ -9,6 +9,7 @@ from skein.functions import text as X
 from skein.operators import graph as G
 from skein.operators import traversal as T
 from skein.operators.graph import CodeGraph
+from skein.scale import checkpoint, join_pairs
 from skein.tables import CLASS_LIKE
 
 
@@ -20,6 +21,26 @@ def class_sketches(graph: CodeGraph) -> DataFrame:
     return counted.select("class_id", "class_name", "kind", "id", "name", "signature", "line_start", F.coalesce("n_callers", F.lit(0)).alias("n_callers"))
 
 
+def shown_callers(graph: CodeGraph, code: DataFrame) -> DataFrame:
+    """(id, display_name, n_edges): the calls of each symbol of `code` (id, name) by its id or name, by the caller's display name.
+
+    Callers are named and summed up once a name, however many symbols have it.
+    What calls a symbol by its id too is found from the few calls by id, so that
+    the many pairs of symbols and callers by name are only filtered.
+    """
+    spelled = code.select(F.explode(F.array("id", "name")).alias("name")).distinct()
+    by_key = G.caller_names(graph, G.callers_by_key(graph).join(spelled, "name", "left_semi"))
+    by_key = checkpoint(by_key.groupBy("name", "display_name").agg(F.sum("n_edges").alias("n_edges")))
+    by_id = by_key.select(F.col("name").alias("id"), "display_name", F.col("n_edges").alias("_by_id"))
+    by_id = checkpoint(by_id.join(code.where("not (id <=> name)"), "id"))
+    twice = checkpoint(by_id.join(by_key, ["name", "display_name"]).select("id", "display_name", (F.col("_by_id") + F.col("n_edges")).alias("n_edges")))
+    once = by_id.select("id", "display_name", F.col("_by_id").alias("n_edges")).join(twice, ["id", "display_name"], "left_anti")
+    skip = twice.groupBy("id").agg(F.collect_list("display_name").alias("_skip"))
+    named = join_pairs(by_key, checkpoint(code.join(skip, "id", "left")), "name")
+    named = named.where(F.col("_skip").isNull() | ~F.array_contains("_skip", F.col("display_name")))
+    return twice.unionByName(once).unionByName(named.select("id", "display_name", "n_edges"))
+
+
 def sketches(graph: CodeGraph) -> DataFrame:
     """(id, section, item, n): what the sketch of each symbol says, by its kind.
 
@@ -31,8 +52,10 @@ def sketches(graph: CodeGraph) -> DataFrame:
     part = lambda df, id_, section, item, n=None: df.select(
         F.col(id_).alias("id"), section.alias("section"), F.col(item).alias("item"), (F.col(n) if n else F.lit(None)).cast("long").alias("n")
     )
+    symbols = checkpoint(graph.symbols.select("id", "name", "kind", "file_path", "line_start", "signature", "parent_id"))
+    graph = CodeGraph(symbols, checkpoint(graph.edges.select("from_id", "to_id", "kind")))
     kinds = graph.symbols.select("id", "name", "kind")
-    counts = G.caller_counts(graph)
+    counts = checkpoint(G.caller_counts(graph))
     members = class_sketches(graph).join(kinds.select(F.col("id").alias("class_id"), F.col("kind").alias("_of")), "class_id")
     inside = part(members.where("_of <> 'enum'"), "class_id", F.lit("member"), "id", "n_callers")
     variants = part(members.where("_of = 'enum' and kind = 'variant'"), "class_id", F.lit("variant"), "id")
@@ -40,14 +63,12 @@ def sketches(graph: CodeGraph) -> DataFrame:
     related = part(G.class_relationships(graph).join(classy, "class_id", "left_semi"), "class_id", F.col("relation"), "name")
     code = kinds.where(F.col("kind").isin(*G.CALLABLE))
     calls = G.outgoing_calls(graph).join(code.select(F.col("id").alias("from_id")), "from_id", "left_semi")
-    keys = code.select("id", F.explode(F.array_distinct(F.array("id", "name"))).alias("name"))
-    by = G.callers_by_key(graph).join(keys, "name").groupBy("id", "from_id").agg(F.sum("n_edges").alias("n_edges"))
-    by = G.caller_names(graph, by).groupBy("id", "display_name").agg(F.sum("n_edges").alias("n_edges"))
+    by = shown_callers(graph, code.select("id", "name"))
     done_by = G.implementors(graph).join(kinds.where("kind = 'interface'").select(F.col("id").alias("interface_id")), "interface_id", "left_semi")
     enums = kinds.where("kind = 'enum'").join(counts, "id", "left").select("id", F.lit("callers").alias("item"), F.coalesce("n_callers", F.lit(0)).alias("n"))
     return (
-        inside.unionByName(variants).unionByName(related)
-        .unionByName(part(calls, "from_id", F.lit("calls"), "to_name"))
+        inside.unionByName(variants).unionByName(checkpoint(related))
+        .unionByName(checkpoint(part(calls, "from_id", F.lit("calls"), "to_name")))
         .unionByName(part(by, "id", F.lit("called_by"), "display_name", "n_edges"))
         .unionByName(part(done_by, "interface_id", F.lit("implementor"), "from_id"))
         .unionByName(part(enums, "id", F.lit("callers"), "item", "n"))

@@ -9,7 +9,6 @@ from skein.functions import text as X
 from skein.operators import graph as G
 from skein.operators import traversal as T
 from skein.operators.graph import CodeGraph
-from skein.scale import checkpoint
 
 #: Shared beginning of the SQL: current symbols s and edges e.
 BASE = """s as (
@@ -200,8 +199,8 @@ def q01_refs_first(spark: SparkSession, d: str) -> DataFrame:
 
 def q03_file_refs(spark: SparkSession, d: str) -> DataFrame:
     """The first 20 references to the symbols of every file, with the total."""
-    found = checkpoint(G.file_refs(CodeGraph.read(spark, d)))
-    return G.first_refs(found).select("target", "place", "from_id", "to_id", "kind", "line", "total")
+    g = CodeGraph.read(spark, d)
+    return G.first_refs_of(*G.grouped_refs(g, G.file_names(g))).select("target", "place", "from_id", "to_id", "kind", "line", "total")
 
 
 def q04_callers(spark: SparkSession, d: str) -> DataFrame:

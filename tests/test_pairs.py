@@ -78,3 +78,21 @@ def test_keys_with_many_pairs_are_shared_out(spark):
     right = spark.range(100).select((F.col("id") % 4).alias("k"), F.col("id").alias("b"))
     same = lambda df: sorted(map(tuple, df.select("k", "a", "b").collect()))
     assert same(join_pairs(left, right, "k", 50)) == same(join_pairs(left, right, "k")) == same(left.join(right, "k"))
+
+
+def test_callers_in_sketches_are_summed_up_by_name(spark, hot):
+    g, folder, symbols = hot
+    code = [s for s in symbols if s[2] in ("function", "method")]
+    names = {s[0]: (s[1] if s[8] is None else "Box." + s[1]) for s in symbols}
+    want = {}
+    for e in g.edges.where("kind = 'calls'").collect():
+        who = names.get(e["from_id"], "m1")
+        for s in code:
+            for k in {s[0], s[1]}:
+                n = (e["to_id"] == k) + ("." in e["to_id"] and e["to_id"].rpartition(".")[2] == k)
+                if n:
+                    want[s[0], who] = want.get((s[0], who), 0) + n
+    df = R.sketches(g)
+    got = [((r["id"], r["item"]), r["n"]) for r in df.where("section = 'called_by'").collect()]
+    assert dict(got) == want and len(got) == len(want) > 100
+    assert "hashpartitioning(from_id" not in R.shown_callers(g, g.symbols.where("kind = 'method'").select("id", "name"))._jdf.queryExecution().executedPlan().toString()
