@@ -96,3 +96,10 @@ def test_callers_in_sketches_are_summed_up_by_name(spark, hot):
     got = [((r["id"], r["item"]), r["n"]) for r in df.where("section = 'called_by'").collect()]
     assert dict(got) == want and len(got) == len(want) > 100
     assert "hashpartitioning(from_id" not in R.shown_callers(g, g.symbols.where("kind = 'method'").select("id", "name"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_references_are_not_shuffled_once_paired(spark, hot):
+    g, folder, symbols = hot
+    q = entry.queries()["q01_refs"](spark, folder)
+    assert sorted((r["target"], r["from_id"], r["to_id"], r["kind"]) for r in q.collect()) == sorted(brute(g, symbols))
+    assert not shuffled_by(q, "target")
