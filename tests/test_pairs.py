@@ -103,3 +103,11 @@ def test_references_are_not_shuffled_once_paired(spark, hot):
     q = entry.queries()["q01_refs"](spark, folder)
     assert sorted((r["target"], r["from_id"], r["to_id"], r["kind"]) for r in q.collect()) == sorted(brute(g, symbols))
     assert not shuffled_by(q, "target")
+
+
+def test_first_references_of_files(spark, hot):
+    g, folder, symbols = hot
+    found = {(r["target"], r["place"], r["from_id"], r["to_id"], r["kind"], r["line"], r["total"]) for r in G.first_refs(G.file_refs(g)).collect()}
+    q = entry.queries()["q03_file_refs"](spark, folder)
+    assert {tuple(r) for r in q.collect()} == found and len(found) > 40
+    assert not shuffled_by(G.file_refs(g), "target")
