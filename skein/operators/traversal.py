@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.operators.graph import CodeGraph, match_names, resolved, sources_of
-from skein.scale import checkpoint
+from skein.scale import checkpoint, join_pairs, lookup_by
 
 
 def transitive_deps(graph: CodeGraph, ids: DataFrame, depth: int = 3) -> DataFrame:
@@ -54,24 +54,64 @@ def impact(graph: CodeGraph, ids: DataFrame, depth: int = 3) -> DataFrame:
     members), further levels exact ids; edges of every kind count, code outside
     of symbols doesn't. A symbol has its least depth; the targets themselves
     and their members are left out at the end only.
+
+    Steps are made once for each name, however many targets it stands for, and on
+    numbers instead of ids. Targets and what their names reach are paired on the way out.
     """
-    graph = narrow(graph)
+    nodes = graph.symbols.select("id", "name", "kind", "file_path", "parent_id").withColumn("n", F.monotonically_increasing_id())
+    graph = CodeGraph(checkpoint(nodes), graph.edges)
+    numbers = graph.symbols.select("id", "n")
     seeds = checkpoint(match_names(graph, ids))
-    known = graph.symbols.select(F.col("id").alias("from_id"))
-    first = graph.keyed_edges().join(seeds, "key").join(known, "from_id", "left_semi")
-    found = checkpoint(first.select("target", F.col("from_id").alias("id")).distinct().withColumn("depth", F.lit(1)))
-    into = graph.edges.join(known, "from_id", "left_semi").select(F.col("to_id").alias("id"), "from_id")
-    frontier = found.select("target", "id")
+    keys = checkpoint(seeds.select("key").distinct().withColumn("k", F.monotonically_increasing_id()))
+    reach = checkpoint(_key_reach(graph, keys, depth))
+
+    seeds = seeds.join(numbers.select(F.col("id").alias("target"), F.col("n").alias("t")), "target")
+    named = seeds.join(keys, "key").join(reach.select("k").distinct(), "k", "left_semi")
+    named = checkpoint(named.select("t", "target", "k"))
+    own = seeds.select("t", F.col("key").alias("id")).join(numbers, "id").select("t", "n")
+    but = checkpoint(_left_out(reach, named.select("t", "k"), own))
+    named = checkpoint(named.join(but, ["t", "k"], "left").select("k", "target", "_not"), replaces=named)
+    full = checkpoint(reach.join(graph.symbols.select("n", "id", "name", "file_path", "kind"), "n"), replaces=reach)
+    full = join_pairs(full, named, "k").where("_not is null or not array_contains(_not, n)")
+    full = full.select("id", "target", "depth", "name", "file_path", "kind")
+    return full.withColumns({"is_test": X.is_test_file(F.col("file_path")), "label": X.impact_label(F.col("depth"))})
+
+
+def _key_reach(graph: CodeGraph, keys: DataFrame, depth: int) -> DataFrame:
+    """(k, n, depth): symbols (n) within `depth` steps back from the edges that fit a key (key, k), each at its least depth."""
+    numbers = graph.symbols.select("id", "n")
+    edges = checkpoint(graph.edges.select("from_id", "to_id").join(numbers.withColumnRenamed("id", "from_id"), "from_id").select("n", "to_id"))
+    spelled = edges.select("to_id").distinct()
+    hits = spelled.withColumn("key", F.explode(X.tails(F.col("to_id")))).join(keys, "key").groupBy("to_id").agg(F.collect_set("k").alias("_ks"))
+    known = spelled.join(hits, "to_id", "left").join(numbers.select(F.col("id").alias("to_id"), F.col("n").alias("to")), "to_id", "left")
+    known = known.where("_ks is not null or to is not null")
+    edges = checkpoint(lookup_by(known, "to_id")(edges).where("_ks is not null or to is not null").select("n", "_ks", "to"), replaces=edges)
+    found = checkpoint(edges.select(F.explode("_ks").alias("k"), "n").distinct().withColumn("depth", F.lit(1)))
+    into = checkpoint(edges.where("to is not null").select(F.col("to").alias("n"), F.col("n").alias("next")).distinct())
+    frontier = found.select("k", "n")
     for level in range(2, depth + 1):
-        step = into.join(frontier, "id").select("target", F.col("from_id").alias("id")).distinct()
-        new = checkpoint(step.join(found.select("target", "id"), ["target", "id"], "left_anti").withColumn("depth", F.lit(level)))
+        step = into.join(frontier, "n").select("k", F.col("next").alias("n")).distinct()
+        new = checkpoint(step.join(found.select("k", "n"), ["k", "n"], "left_anti").withColumn("depth", F.lit(level)))
         if not new.limit(1).count():
             break
-        found, frontier = found.unionByName(new), new.select("target", "id")
-    own = seeds.select("target", F.col("key").alias("id"))
-    facts = graph.symbols.select("id", "name", "file_path", "kind")
-    full = found.join(own, ["target", "id"], "left_anti").join(facts, "id")
-    return full.withColumns({"is_test": X.is_test_file(F.col("file_path")), "label": X.impact_label(F.col("depth"))})
+        found, frontier = found.unionByName(new), new.select("k", "n")
+    return found
+
+
+def _left_out(reach: DataFrame, named: DataFrame, own: DataFrame) -> DataFrame:
+    """(t, k, _not): what of the reach of a key k isn't to be paired with its target t.
+
+    That is what another key of the target reaches with fewer steps (or as many, and
+    is the first), and what is the target's own (t, n). The first is found from two keys of
+    one target and two keys that reach one symbol, so nothing is paired for it.
+    """
+    a, b = (named.select("t", F.col("k").alias(k)) for k in ("k1", "k2"))
+    two = a.join(b, "t").where("k1 < k2")
+    a, b = (reach.select("n", F.col("k").alias(f"k{i}"), F.col("depth").alias(f"d{i}")) for i in (1, 2))
+    both = a.join(b, "n").where("k1 < k2").select("n", "k1", "k2", F.expr("if(d1 <= d2, k2, k1)").alias("k"))
+    again = two.join(both, ["k1", "k2"]).select("t", "k", "n")
+    mine = own.join(reach.select("n", "k"), "n").join(named, ["t", "k"], "left_semi").select("t", "k", "n")
+    return again.unionByName(mine).groupBy("t", "k").agg(F.collect_set("n").alias("_not"))
 
 
 def _reach(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:

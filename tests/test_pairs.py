@@ -111,3 +111,28 @@ def test_first_references_of_files(spark, hot):
     q = entry.queries()["q03_file_refs"](spark, folder)
     assert {tuple(r) for r in q.collect()} == found and len(found) > 40
     assert not shuffled_by(G.file_refs(g), "target")
+
+
+def test_impact_is_not_shuffled_once_paired(spark, hot):
+    """Keys of a target that reach one symbol at different depths, a target's own members, and names of many targets."""
+    g, folder, symbols = hot
+    known = {s[0] for s in symbols}
+    edges = [(e["from_id"], e["to_id"]) for e in g.edges.collect() if e["from_id"] in known]
+    own = {s[0]: {s[0], s[1]} | ({k for m in symbols if m[8] == s[0] for k in m[:2]} if s[2] == "class" else set()) for s in symbols}
+    want = {}
+    for t, keys in own.items():
+        level, depth = {a for a, b in edges if tails(b) & keys}, 1
+        while level and depth <= 3:
+            for i in level:
+                want.setdefault((t, i), depth)
+            level, depth = {a for a, b in edges if b in level}, depth + 1
+    want = {(t, i, d) for (t, i), d in want.items() if i not in own[t]}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for it
+    try:
+        q = entry.queries()["q08_impact"](spark, folder)
+        assert not shuffled_by(q, "target", "id", "n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    got = [(r["target"], r["id"], r["depth"]) for r in q.collect()]
+    assert sorted(got) == sorted(want) and {d for *_, d in want} == {1, 2, 3}
