@@ -65,16 +65,17 @@ def impact(graph: CodeGraph, ids: DataFrame, depth: int = 3) -> DataFrame:
     keys = checkpoint(seeds.select("key").distinct().withColumn("k", F.monotonically_increasing_id()))
     reach = checkpoint(_key_reach(graph, keys, depth))
 
-    seeds = seeds.join(numbers.select(F.col("id").alias("target"), F.col("n").alias("t")), "target")
-    named = seeds.join(keys, "key").join(reach.select("k").distinct(), "k", "left_semi")
+    targets = numbers.select(F.col("id").alias("target"), F.col("n").alias("t"))
+    named = seeds.join(keys, "key").join(reach.select("k").distinct(), "k", "left_semi").join(targets, "target")
     named = checkpoint(named.select("t", "target", "k"))
-    own = seeds.select("t", F.col("key").alias("id")).join(numbers, "id").select("t", "n")
-    but = checkpoint(_left_out(reach, named.select("t", "k"), own))
+    own = seeds.withColumnRenamed("key", "id").join(numbers, "id").join(targets, "target")
+    own = checkpoint(own.select("t", "n"), replaces=seeds)
+    but = checkpoint(_left_out(reach, named.select("t", "k"), own), replaces=own)
     named = checkpoint(named.join(but, ["t", "k"], "left").select("k", "target", "_not"), replaces=named)
-    full = checkpoint(reach.join(graph.symbols.select("n", "id", "name", "file_path", "kind"), "n"), replaces=reach)
-    full = join_pairs(full, named, "k").where("_not is null or not array_contains(_not, n)")
-    full = full.select("id", "target", "depth", "name", "file_path", "kind")
-    return full.withColumns({"is_test": X.is_test_file(F.col("file_path")), "label": X.impact_label(F.col("depth"))})
+    facts = {"is_test": X.is_test_file(F.col("file_path")), "label": X.impact_label(F.col("depth"))}
+    full = reach.join(graph.symbols.select("n", "id", "name", "file_path", "kind"), "n").withColumns(facts)
+    pairs = join_pairs(checkpoint(full, replaces=reach), named, "k").where("_not is null or not array_contains(_not, n)")
+    return pairs.select("id", "target", "depth", "name", "file_path", "kind", "is_test", "label")
 
 
 def _key_reach(graph: CodeGraph, keys: DataFrame, depth: int) -> DataFrame:
