@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.scale import checkpoint, join_pairs, lookup_by
+from skein.scale import checkpoint, join_pairs, likely_in, lookup_by
 from skein.tables import CLASS_LIKE, current_edges, current_symbols, table
 
 SYMBOL = ["id", "name", "kind", "file_path", "line_start", "line_end", "signature", "docstring", "parent_id", "language", "metadata"]
@@ -244,15 +244,16 @@ def match_names(graph: CodeGraph, ids: DataFrame) -> DataFrame:
     return both.select("target", F.explode(F.array("id", "name")).alias("key")).distinct()
 
 
-def grouped_refs(graph: CodeGraph, names: DataFrame, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(edges with group and from_name) and (group, target): the references to targets by their names (target, key), not paired yet.
+def grouped_refs(graph: CodeGraph, names: DataFrame, kinds: list[str] | None = None, named: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(edges with group and, if named, from_name) and (group, target): the references to targets by their names (target, key), not paired yet.
 
     An edge is in one group and a target in a group once, so joined by group
     they give every reference once. Edges of spellings that one key fits are that key's
-    group; a spelling that fits several keys is a group of its own.
+    group; a spelling that fits several keys is a group of its own. Edges whose
+    spelling fits nothing are left out before the current ones are chosen.
     """
     names = checkpoint(names)
-    edges = checkpoint(graph.edges.where(F.col("kind").isin(*kinds)) if kinds else graph.edges)
+    edges = graph.edges.where(F.col("kind").isin(*kinds)) if kinds else graph.edges
     spelled = edges.select("to_id").distinct().withColumn("key", F.explode(X.tails(F.col("to_id"))))
     hits = checkpoint(spelled.join(names.select("key").distinct(), "key", "left_semi"))
     own = hits.groupBy("to_id").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("_key"))
@@ -260,10 +261,13 @@ def grouped_refs(graph: CodeGraph, names: DataFrame, kinds: list[str] | None = N
     by_key = own.where("_n = 1").select("group").distinct()
     targets = names.select("target", F.concat(F.lit("k"), "key").alias("group")).join(by_key, "group", "left_semi")
     several = hits.join(own.where("_n > 1"), "to_id").join(names, "key").select("target", "group").distinct()
-    targets = checkpoint(targets.unionByName(several))
-    found = checkpoint(lookup_by(own.drop("_n"), "to_id")(edges).where("group is not null"), replaces=edges)
-    named = names_of_ids(graph, found, "from_id").withColumnRenamed("from_id_name", "from_name")
-    return checkpoint(named, replaces=found), targets
+    targets = checkpoint(targets.unionByName(several), replaces=[names, hits])
+    edges = checkpoint(likely_in(edges, own, "to_id"))
+    found = checkpoint(lookup_by(own, "to_id")(edges).drop("_n").where("group is not null"), replaces=[edges, own])
+    if not named:
+        return found, targets
+    shown = names_of_ids(graph, found, "from_id").withColumnRenamed("from_id_name", "from_name")
+    return checkpoint(shown, replaces=found), targets
 
 
 def refs(graph: CodeGraph, ids: DataFrame, kinds: list[str] | None = None) -> DataFrame:
@@ -283,16 +287,18 @@ def picked_refs(edges: DataFrame, targets: DataFrame, limit: int = 20) -> DataFr
     that the target has picks in no other group, so that the row is all it has. totals has
     (kind, n) of all references to the target. A target's first ones are
     among the first of its groups, so no more than those are ever joined, and
-    they are merged by their numbers in the order of all edges.
+    they are merged by their numbers in the order of all groups' first ones. The tables of
+    edges and targets are removed once they have been read.
     """
     order = ["kind", "file_path", "line", "from_id", "to_id"]
-    ranked = checkpoint(edges.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
-    place = F.row_number().over(Window.partitionBy("group").orderBy("_at"))
-    first = ranked.withColumn("_i", place).where(F.col("_i") <= limit)
-    rows = first.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("_at", *order, "from_name"))).alias("_rows"))
-    counts = ranked.groupBy("group", "kind").agg(F.count(F.lit(1)).alias("n"))
+    shown = [c for c in (*order, "from_name") if c in edges.columns]
+    place = F.row_number().over(Window.partitionBy("group").orderBy(*order))
+    first = checkpoint(edges.withColumn("_i", place).where(F.col("_i") <= limit).drop("_i"))
+    ranked = checkpoint(first.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), replaces=first)
+    rows = ranked.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("_at", *shown))).alias("_rows"))
+    counts = edges.groupBy("group", "kind").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.groupBy("group").agg(F.collect_list(F.struct("kind", "n")).alias("_kinds"))
-    groups = checkpoint(rows.join(counts, "group"), replaces=ranked)
+    groups = checkpoint(rows.join(counts, "group"), replaces=[ranked, edges])
 
     own = targets.join(groups.select("group", "_kinds", F.col("_rows._at").alias("_ats")), "group")
     own = own.groupBy("target").agg(F.collect_list(F.struct("group", "_ats", "_kinds")).alias("_g"))
@@ -305,12 +311,13 @@ def picked_refs(edges: DataFrame, targets: DataFrame, limit: int = 20) -> DataFr
     at = F.transform("_all", lambda x, p: F.named_struct(F.lit("place"), p + 1, F.lit("k"), x["k"], F.lit("i"), x["i"]))
     own = own.select("target", totals.alias("totals"), (F.size(F.array_distinct("_all.k")) == 1).alias("alone"), at.alias("_all"), F.posexplode("_g.group").alias("_k", "group"))
     own = own.withColumn("_all", F.filter("_all", lambda x: x["k"] == F.col("_k"))).where(F.size("_all") > 0)
+    own = checkpoint(own.drop("_k"), replaces=targets)
 
     def pick(x):  # noqa: ANN001, ANN202
         row = F.element_at("_rows", x["i"] + 1)
-        return F.named_struct(F.lit("place"), x["place"], *[y for c in (*order, "from_name") for y in (F.lit(c), row[c])])
+        return F.named_struct(F.lit("place"), x["place"], *[y for c in shown for y in (F.lit(c), row[c])])
 
-    full = own.drop("_k").join(groups.select("group", "_rows"), "group")
+    full = own.join(groups.select("group", "_rows"), "group")
     return full.select("target", "totals", "alone", F.transform("_all", pick).alias("picks"))
 
 
@@ -359,7 +366,7 @@ def file_names(graph: CodeGraph) -> DataFrame:
 
 def file_refs(graph: CodeGraph, kinds: list[str] | None = None) -> DataFrame:
     """(target, from_id, to_id, kind, file_path, line): every reference to a symbol of each file (target), one row an edge and file."""
-    edges, targets = grouped_refs(graph, file_names(graph), kinds)
+    edges, targets = grouped_refs(graph, file_names(graph), kinds, named=False)
     return join_pairs(edges, targets, "group").select("from_id", "to_id", "kind", "file_path", "line", "target")
 
 

@@ -200,7 +200,7 @@ def q01_refs_first(spark: SparkSession, d: str) -> DataFrame:
 def q03_file_refs(spark: SparkSession, d: str) -> DataFrame:
     """The first 20 references to the symbols of every file, with the total."""
     g = CodeGraph.read(spark, d)
-    return G.first_refs_of(*G.grouped_refs(g, G.file_names(g))).select("target", "place", "from_id", "to_id", "kind", "line", "total")
+    return G.first_refs_of(*G.grouped_refs(g, G.file_names(g), named=False)).select("target", "place", "from_id", "to_id", "kind", "line", "total")
 
 
 def q04_callers(spark: SparkSession, d: str) -> DataFrame:

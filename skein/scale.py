@@ -31,14 +31,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def checkpoint(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+def checkpoint(df: DataFrame, replaces: DataFrame | list[DataFrame] | None = None) -> DataFrame:
     """df, written as a table to the shared checkpoint folder and read from there: its lineage ends at the files.
 
     Columnar files are a fraction of the size of a checkpointed RDD, and later
     steps read only the columns they need. A loop whose next state takes the
     place of the last one gives that as `replaces`, and its table is removed as
-    soon as the new one is written; the others when the Python process ends. The
-    shuffle files behind the table are removed as soon as it is written.
+    soon as the new one is written, as are several that nothing reads any more;
+    the others when the Python process ends. The shuffle files behind the table
+    are removed as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/skein-{uuid.uuid4().hex}"
@@ -53,8 +54,9 @@ def checkpoint(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._skein_table = path
-    if replaces is not None and (old := getattr(replaces, "_skein_table", None)) in _written:
-        _remove(_written.pop(old), old)
+    for table in replaces if isinstance(replaces, list) else [replaces]:
+        if (old := getattr(table, "_skein_table", None)) in _written:
+            _remove(_written.pop(old), old)
     return out
 
 
@@ -114,15 +116,34 @@ FEW_ROWS = 200_000
 def lookup_by(table: DataFrame, key: str, most: int = FEW_ROWS) -> Callable[[DataFrame], DataFrame]:
     """A function that left-joins its argument with table, which has one row per key.
 
-    table is written and counted once. With at most `most` rows it is
-    broadcast; else hot keys of the other side are kept apart from the shuffle.
+    table is written, unless it is read from a checkpoint already, and counted
+    once. With at most `most` rows it is broadcast; else hot keys of the other
+    side are kept apart from the shuffle.
     """
-    table = checkpoint(table)
+    table = table if hasattr(table, "_skein_table") else checkpoint(table)
     if table.count() <= most:
         return lambda big: big.join(F.broadcast(table), key, "left")
     return lambda big: left_join_skewed(big, table, key)
 
 
+#: Words of 64 bits in which likely_in marks values: some MB in memory, however many values there are.
+MARKS = 1 << 18
+
+
+def likely_in(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """df without most rows whose `column` isn't in that of values; no row whose is is left out.
+
+    Marks by the hash of every value are broadcast, so that rows are left out
+    where they are read, before any shuffle. They drop fewer the more values
+    there are; an exact join has to follow.
+    """
+    hashed = F.xxhash64(column)
+    word = F.pmod(hashed, F.lit(MARKS)).cast("int")
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(hashed, 18), F.lit(64)).cast("int"))
+    marks = values.select(word.alias("_word"), mark.alias("_mark")).groupBy("_word").agg(F.bit_or("_mark").alias("_marks"))
+    return df.join(F.broadcast(marks), (word == F.col("_word")) & (F.col("_marks").bitwiseAND(mark) != 0), "left_semi")
+
+
 #: Pairs of one key that a join makes in one task; more are shared out.
 PAIRS_TOGETHER = 1_000_000
 

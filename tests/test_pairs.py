@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from skein.operators import graph as G
 from skein.operators import report as R
-from skein.scale import join_pairs
+from skein import scale
+from skein.scale import join_pairs, likely_in
 from test_graph import build, sym
 
 
@@ -113,6 +114,31 @@ def test_first_references_of_files(spark, hot):
     assert not shuffled_by(G.file_refs(g), "target")
 
 
+def test_first_references_of_files_write_only_what_is_read(spark, hot, monkeypatch):
+    """Edges that fit nothing aren't written at all, and tables that were read to the end don't stay beside the result."""
+    g, folder, symbols = hot
+    written = []
+    kept = G.checkpoint
+    monkeypatch.setattr(G, "checkpoint", lambda df, replaces=None: written.append((df.columns, (out := kept(df, replaces)).count())) or out)
+    before = set(scale._written)
+    G.first_refs_of(*G.grouped_refs(g, G.file_names(g), named=False)).count()
+    fits = {k for s in symbols for k in s[:2]}
+    n = sum(bool(tails(e["to_id"]) & fits) for e in g.edges.collect())
+    assert [x for cols, x in written if "line" in cols][0] == n < g.edges.count()
+    assert len(set(scale._written) - before) == 2 and not any("from_name" in cols for cols, _ in written)
+
+
+def test_rows_of_other_values_are_left_out_where_they_are_read(spark, hot):
+    g, folder, symbols = hot
+    rows = spark.range(20_000).select(F.concat(F.lit("v"), "id").alias("v"), "id")
+    values = rows.where("id % 7 = 0").select("v")
+    got = {r["id"] for r in likely_in(rows, values, "v").collect()}
+    assert {i for i in range(20_000) if i % 7 == 0} <= got and len(got) < 3_500
+    assert not likely_in(rows, values.where("false"), "v").count()
+    plan = likely_in(g.edges, g.edges.select("to_id").limit(3), "to_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [from_id") < plan.index("Join LeftSemi")
+
+
 def test_impact_is_not_shuffled_once_paired(spark, hot):
     """Keys of a target that reach one symbol at different depths, a target's own members, and names of many targets."""
     g, folder, symbols = hot
